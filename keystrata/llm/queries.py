@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
-from .shared import table
+from . import bpe, mixing, token_files, url_filter
+from .shared import shared_folder, table
 
 #: Host and path rules of op8.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -21,6 +22,23 @@ def source_weights(docs: DataFrame) -> DataFrame:
     return names.select("source", F.element_at(F.array(F.lit(5), F.lit(2), F.lit(1)), place.cast("int") + 1).alias("weight"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_ids(spark, path).withColumnRenamed("key", "doc_id")
+
+
+def op6_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.code(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ids=False)
+    return out.select(F.col("key").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, source_weights(docs), share=1.5, max_epochs=2.0, seed=20240229)
@@ -34,6 +52,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
+        "op6_bpe_coding": op6_bpe_coding,
         "op3_source_mixing": op3_source_mixing,
         "op8_url_filter": op8_url_filter,
     }
