@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, token_files, url_filter
+from . import bpe, language, mixing, quality, token_files, url_filter
 from .shared import shared_folder, table
 
 #: Host and path rules of op8.
@@ -34,6 +34,22 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language.train(docs, ~held_out(F.col("doc_id")))
+    out = language.identify(docs.select("doc_id", "text"), network).withColumnRenamed("key", "doc_id")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def held_out(doc_id: Column) -> Column:
+    """Documents that the language model never learns from; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
 def op6_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.code(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ids=False)
     return out.select(F.col("key").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
@@ -53,7 +69,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op5_compression_bands": op5_compression_bands,
         "op6_bpe_coding": op6_bpe_coding,
+        "op10_language_id": op10_language_id,
         "op3_source_mixing": op3_source_mixing,
         "op8_url_filter": op8_url_filter,
     }
