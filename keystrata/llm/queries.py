@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality, token_files, url_filter
+from . import bpe, language, mixing, quality, token_files, topk, url_filter
 from .shared import shared_folder, table
 
 #: Host and path rules of op8.
@@ -38,6 +38,11 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = topk.Index.build(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return index.search(20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = language.train(docs, ~held_out(F.col("doc_id")))
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op5_compression_bands": op5_compression_bands,
         "op6_bpe_coding": op6_bpe_coding,
+        "op9_pivot_topk": op9_pivot_topk,
         "op10_language_id": op10_language_id,
         "op3_source_mixing": op3_source_mixing,
         "op8_url_filter": op8_url_filter,
