@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality, token_files, topk, url_filter
+from . import bpe, jaccard, language, mixing, quality, token_files, topk, url_filter
 from .shared import shared_folder, table
 
 #: Host and path rules of op8.
@@ -34,6 +34,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.Join(table(spark, sf_dir, "documents"), width=3, percent=90).components()
+    return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
@@ -74,6 +79,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_compression_bands": op5_compression_bands,
         "op6_bpe_coding": op6_bpe_coding,
         "op9_pivot_topk": op9_pivot_topk,
