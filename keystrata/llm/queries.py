@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, mixing, quality, token_files, topk, url_filter
+from . import bpe, jaccard, language, mixing, quality, secrets, token_files, topk, url_filter
 from .shared import shared_folder, table
 
 #: Host and path rules of op8.
@@ -43,6 +43,12 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.training(secrets.generated_findings(spark))
+    found = secrets.find(table(spark, sf_dir, "documents"), forest)
+    return found.select(F.col("key").alias("doc_id"), "n_candidates", "n_secrets", "score", "secrets_sha256", F.sha2(F.coalesce("redacted", F.lit("")).cast("binary"), 256).alias("redacted_sha256"))
+
+
 def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = topk.Index.build(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return index.search(20)
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": op4_jaccard_join,
         "op5_compression_bands": op5_compression_bands,
         "op6_bpe_coding": op6_bpe_coding,
+        "op7_secret_scan": op7_secret_scan,
         "op9_pivot_topk": op9_pivot_topk,
         "op10_language_id": op10_language_id,
         "op3_source_mixing": op3_source_mixing,
