@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, mixing, quality, secrets, token_files, topk, url_filter
+from . import bpe, chat, jaccard, language, mixing, quality, secrets, token_files, topk, url_filter
 from .shared import shared_folder, table
 
 #: Host and path rules of op8.
@@ -71,6 +71,18 @@ def op6_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+#: The conversation that op2 adds: control strings inside texts.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/chat-{uuid.uuid4().hex}"
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    chat.write_tree(turns.unionByName(own), path)
+    return chat.read_tree(spark, path)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, source_weights(docs), share=1.5, max_epochs=2.0, seed=20240229)
@@ -85,6 +97,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_chat_tree": op2_chat_tree,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_compression_bands": op5_compression_bands,
         "op6_bpe_coding": op6_bpe_coding,
