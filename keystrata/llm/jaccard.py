@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import LOWER, UPPER, pieces_of, stored
 
@@ -196,6 +197,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def with_class(docs: DataFrame, width: int, text: str = "text", name: str = "class") -> DataFrame:
+    """``docs`` with the class of each text (null without words)."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces_of(batch):
+                found = pa.array([_class(shingles(x, width)) for x in part.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
+def one_of_each(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps the document of its smallest key.
+
+    Rows with that key and class are one document: the least of them stays.
+    Texts without words have no link, so all their rows stay.
+    """
+    groups = Join(docs, width, percent, key, text).components()
+    kept = groups.filter(F.col("class").isNotNull() & F.col("key").eqNullSafe(F.col("component_id")))
+    kept = stored(kept.groupBy("component_id").agg(F.min("class").alias("__kept")).withColumnRenamed("component_id", "__id"), "jaccard-kept")
+    df = with_class(docs, width, text, "__class")
+    held = df.join(kept, (df["__class"] == kept["__kept"]) & df[key].eqNullSafe(kept["__id"]), "left_semi")
+    whole = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")
+    held = held.groupBy("__class", F.col(f"`{key}`").alias("__key")).agg(whole).select("__row.*")
+    return held.unionByName(df.filter("__class is null").drop("__class"))
+
+
 def _texts(batches):
     for batch in batches:
         for part in pieces_of(batch):

@@ -50,22 +50,24 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
     return sources.withColumn("target", F.when(F.col("weight") > 0, F.least(cap, share)).otherwise(0.0))
 
 
-def mix(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float, seed: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: key, source, size, source_size, target, taken.
+def _draw(seed: int, key: Column, source: Column) -> Column:
+    return F.xxhash64(F.lit(seed), key, source)
+
+
+def plan_mix(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float, seed: int, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The sized rows (key, source, size, draw) and the plan: one row for each source.
 
     ``weights`` has (source, weight), one row a source, null included; sources
-    without one weigh 0.  The targets share ``share`` times all words.  Null and
-    empty texts have size 0 and give nothing.  Equal rows are drawn together.
+    without one weigh 0.  The targets share ``share`` times all words.
     """
     sized = stored(
         docs.select(
             F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{source}`")).alias("draw"),
+            _draw(seed, F.col(f"`{key}`"), F.col(f"`{source}`")).alias("draw"),
         ),
         "mix-sizes",
     )
-    sized = sized.withColumns({"bin1": F.shiftrightunsigned("draw", 52).cast("int"), "bin2": (F.shiftrightunsigned("draw", 40) % BINS).cast("int")})
-    first = sized.groupBy("source", "bin1").agg(F.sum("size").alias("n"))
+    first = sized.groupBy("source", F.shiftrightunsigned("draw", 52).cast("int").alias("bin1")).agg(F.sum("size").alias("n"))
     first = stored(first, "mix-bins")
     sizes = first.groupBy("source").agg(F.sum("n").alias("source_size"))
     same = sizes["source"].eqNullSafe(weights["source"])
@@ -84,17 +86,43 @@ def mix(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float, se
         return held.select(upto["source"], F.col(bin), (F.col("rest") - F.col("before")).alias("rest"), "n")
 
     cut1 = cut(first, "bin1", plan)
-    inside = sized.join(F.broadcast(cut1.select(F.col("source").alias("s"), F.col("bin1").alias("b"))), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin1") == F.col("b")))
-    second = inside.groupBy("source", "bin2").agg(F.sum("size").alias("n"))
+    edge = cut1.select(F.col("source").alias("s"), F.col("bin1").alias("b"))
+    inside = sized.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned("draw", 52) == F.col("b")))
+    second = inside.groupBy("source", (F.shiftrightunsigned("draw", 40) % BINS).cast("int").alias("bin2")).agg(F.sum("size").alias("n"))
     cut2 = cut(second, "bin2", cut1.select("source", "rest"))
     cuts = cut1.select("source", "bin1").join(cut2.select(F.col("source").alias("s"), "bin2", "rest", "n"), F.col("source").eqNullSafe(F.col("s")), "left")
-    #: The last 40 bits go on from there as if the words of the cell were spread evenly.
+    # the last 40 bits go on from there as if the words of the cell were spread evenly
     last = F.coalesce(F.col("rest") / F.col("n"), F.lit(0.0)) * float(1 << 40)
     edge = cuts.select(F.col("source").alias("s"), ((F.col("bin1") * BINS + F.coalesce("bin2", F.lit(0))).cast("long")).alias("cell"), last.alias("last"))
-    plan = plan.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = stored(plan.withColumnRenamed("source", "s"), "mix-cuts")
-    cell, low = F.shiftrightunsigned("draw", 40), F.col("draw").bitwiseAND((1 << 40) - 1)
-    drawn = (cell < F.col("cell")) | ((cell == F.col("cell")) & (low < F.col("last")))
-    out = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
-    taken = F.col("size") * (F.col("whole") + F.when(drawn, 1).otherwise(0))
-    return out.select("key", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    plan = plan.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cell", "last")
+    return sized, stored(plan, "mix-cuts")
+
+
+def with_repeats(rows: DataFrame, plan: DataFrame, draw: Column, source: str = "source") -> DataFrame:
+    """``rows`` with source_size, target and __repeats: how often the mix takes each."""
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    df = rows.withColumn("__draw", draw).join(F.broadcast(plan), F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left")
+    cell, low = F.shiftrightunsigned("__draw", 40), F.col("__draw").bitwiseAND((1 << 40) - 1)
+    drawn = (cell < F.col("__cell")) | ((cell == F.col("__cell")) & (low < F.col("__last")))
+    repeats = (F.coalesce("__whole", F.lit(0)) + F.when(drawn, 1).otherwise(0)).cast("int")
+    keep = [F.col(f"`{c}`") for c in rows.columns if c not in ("source_size", "target")]
+    return df.select(*keep, F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), repeats.alias("__repeats"))
+
+
+def mix(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float, seed: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row for each row of ``docs``: key, source, size, source_size, target, taken.
+
+    Null and empty texts have size 0 and give nothing.  Equal rows are drawn
+    together.  An empty table gives an empty result.
+    """
+    sized, plan = plan_mix(docs, weights, share, max_epochs, seed, key, text, source)
+    out = with_repeats(sized, plan, F.col("draw"))
+    return out.select("key", "source", "size", "source_size", "target", (F.col("size") * F.col("__repeats")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float, seed: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` themselves, each as often as the mix takes it."""
+    _, plan = plan_mix(docs, weights, share, max_epochs, seed, key, text, source)
+    out = with_repeats(docs, plan, _draw(seed, F.col(f"`{key}`"), F.col(f"`{source}`")), source).filter("__repeats > 0")
+    out = out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__repeats"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
