@@ -1,0 +1,62 @@
+"""Secret scan: SQL trees equal the trees, held-out accuracy, redaction."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from keystrata.llm import secrets
+
+from .conftest import ODD
+
+KEY = "3f9a0c27be41d58e6a7c90b1d2e3f40516a7b8c9"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.training(secrets.generated_findings(spark))
+
+
+def rows_of(found):
+    rows = found.select(secrets._features(F.struct("candidate", "before", "after", "path")).alias("x"), "secret").collect()
+    return np.array([[r["x"][f] for f in secrets.FEATURES] for r in rows]), np.array([r["secret"] for r in rows], dtype=float)
+
+
+def test_held_out_findings(spark, forest):
+    x, y = rows_of(secrets.generated_findings(spark, 600, seed=99))
+    right = (forest.score(x) >= secrets.LEAST_SCORE) == (y == 1)
+    assert right.mean() >= 0.95
+
+
+def test_sql_equals_trees(spark, forest):
+    found = secrets.generated_findings(spark, 100, seed=3)
+    x, _ = rows_of(found)
+    got = found.select(forest.column(secrets._features(F.struct("candidate", "before", "after", "path"))).alias("s")).collect()
+    assert [r["s"] for r in got] == pytest.approx(list(forest.score(x)))
+
+
+def test_false_positives_stay_and_secrets_go(spark, forest):
+    texts = {
+        1: f'x token = "{KEY}" y', 2: f"see commit {KEY} for this", 3: "uuid: 123e4567-e89b-12d3-a456-426614174000 ok", 4: "the http://host.example/path/to/some-page-of-2024-text.html page",
+        5: f'a password: "{KEY[:32]}" and api_key="{KEY}" and again {KEY}', 6: "nothing here", 7: "1234567890123456", 8: None, 9: "",
+    }
+    df = spark.createDataFrame([(k, t, "src1") for k, t in texts.items()], "doc_id bigint, text string, source string")
+    got = {r["key"]: r for r in secrets.find(df, forest).collect()}
+    assert got[1]["redacted"] == f'x token = "{secrets.REDACTED}" y'
+    assert got[1]["secrets_sha256"] == [hashlib.sha256(KEY.encode()).hexdigest()]
+    assert got[2]["n_candidates"] == 1 and got[2]["redacted"] == texts[2]
+    assert got[3]["n_secrets"] == 0 and got[4]["n_secrets"] == 0
+    assert KEY[:32] not in got[5]["redacted"] and got[5]["n_candidates"] == 3
+    assert [got[k]["n_candidates"] for k in (6, 7, 8, 9)] == [0, 0, 0, 0]
+    assert got[8]["redacted"] is None and got[9]["redacted"] == ""
+
+
+def test_odd_rows_and_nothing(odd, empty, forest):
+    assert secrets.find(odd, forest).count() == len(ODD)
+    assert secrets.find(empty, forest).count() == 0
+
+
+def test_training_on_nothing(spark):
+    none = spark.createDataFrame([], "candidate string, before string, after string, path string, secret boolean")
+    assert secrets.training(none).trees == [0.0]
