@@ -126,7 +126,9 @@ def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
     def short(batches):
         own = tokenizer(tokenizer_path)
-        pieces = Pieces(tokenizer_path, True, lambda _, x: (len(x), ",".join(map(str, x)), own.decode(x, skip_special_tokens=False), x))
+        entry = lambda x: (len(x), ",".join(map(str, x)), own.decode(x, skip_special_tokens=False), tuple(x) if ids else ())
+        plus = lambda a, b: (a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2], a[3] + b[3])
+        pieces = Pieces(tokenizer_path, True, entry, plus)
         for batch in batches:
             for part in pieces_of(batch):
                 data, out = part.to_pydict(), []

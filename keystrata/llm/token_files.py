@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import pieces_of
+from .shared import pieces_of, stored
 from .tokenizing import Pieces, id_bytes
 
 BLOCK_IDS = 1 << 16
@@ -92,7 +92,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key:
     out = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int32()), ("bits", pa.bool_()), ("planes", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
 
     def encode(batches):
-        pieces = Pieces(tokenizer_path, False, id_bytes)
+        pieces = Pieces(tokenizer_path, False, id_bytes, bytes.__add__)
 
         def docs_of():
             number = 0
@@ -140,7 +140,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             crc = zlib.crc32(r["ids"], crc)
         return pa.Table.from_pylist([rows[0] | {"n": sum(r["n"] for r in rows), "crc": crc, "ids": None, "whole": True}], schema=out)
 
-    pieces = blocks.mapInArrow(decode, READ)
+    pieces = stored(blocks.mapInArrow(decode, READ), "token-pieces")
     whole = pieces.filter("whole")
     rest = pieces.filter("not whole").groupBy("shard", "part").applyInArrow(joined, READ)
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").cast("long").alias("n"))

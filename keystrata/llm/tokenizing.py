@@ -3,23 +3,25 @@
 Byte-pair encoding works on pre-tokens, so a text cut where the pre-tokenizer
 always cuts has the ids of its pieces one after another.  Natural text repeats
 its words, so a worker keeps the ids of the pieces it has met.  The memory has a
-fixed size: it is emptied when full, which changes no result.
+fixed size and changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
-
-#: Pieces that a worker keeps; about 250 bytes each.
-CACHE_PIECES = 400_000
+#: Entries in a generation of a worker's memory; about 200 bytes each.
+CACHE_PIECES = 600_000
 #: Text whose spaces are only these four is cut at them; any other is encoded whole.
 _OTHER_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
 _RUNS = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Letters below this are letters in every Unicode version, and one letter in lower case.
 LATIN_END = "\u0100"
+#: ASCII symbols but the apostrophe, which begins contractions.
+SYMBOLS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Longer runs without a space are not kept.
 MAX_PIECE = 64
 
@@ -39,73 +41,112 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters below LATIN_END as the byte-level alphabet writes their UTF-8 bytes.
+
+    That alphabet gives each printable Latin-1 byte its own character and counts
+    the others up from U+0100 in order.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    shown = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(ord(LATIN_END)) if chr(c).isalpha()}
+
+
+class Memory:
+    """A dict of two generations: entries met again move from the older to the younger, and the older is dropped when the younger is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.young[key] = value
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Pieces:
     """Ids of texts by cached pieces.
 
     ``spaces`` says whether white space counts (byte-level vocabularies: a piece
     is the white space before a word and the word) or is dropped by the
-    tokenizer (a piece is a word).  ``entry`` makes the value kept for a piece
-    from the piece and its ids.
+    tokenizer, which also lower-cases (a piece is a word).  ``entry`` makes the
+    value kept for ids, ``plus`` joins the values of two neighbouring parts.
+
+    A piece of Latin-1 letters followed by ASCII symbols other than the apostrophe is two
+    pre-tokens.  Letters alone (with one space before them, the same) go straight to
+    the library's merge step; all else takes the library's whole way.
     """
 
-    def __init__(self, path: str, spaces: bool, entry):
-        self.own, self.spaces, self.entry = tokenizer(path), spaces, entry
-        self.known: dict = {}
-        self.parts: dict = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.own.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes new pieces.  A final run of full stops and commas after letters is a pre-token of its own."""
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-        if len(self.parts) > CACHE_PIECES:
-            self.parts.clear()
-        cuts, need = [], {}
-        for x in new:
-            head = x.rstrip(".,")
-            if len(head) == len(x) or not head or not (head[-1] < LATIN_END and head[-1].isalpha()):
-                head, tail = x, ""
+    def __init__(self, path: str, spaces: bool, entry, plus):
+        self.own, self.spaces, self.entry, self.plus = tokenizer(path), spaces, entry, plus
+        self.model, self.letters = self.own.model, _byte_letters()
+        self.pieces, self.parts = Memory(CACHE_PIECES), Memory(CACHE_PIECES)
+
+    def _word(self, word: str):
+        """The value of Latin-1 letters, for ``spaces`` perhaps after a space."""
+        value = self.parts.get(word)
+        if value is None:
+            shown = word.replace(" ", "\u0120")
+            value = self.entry([t.id for t in self.model.tokenize(shown if word.isascii() else shown.translate(self.letters))])
+            self.parts.put(word, value)
+        return value
+
+    def _whole(self, text: str):
+        return self.entry(self.own.encode(text, add_special_tokens=False).ids)
+
+    def _symbols(self, tail: str):
+        value = self.parts.get(tail)
+        if value is None:
+            value = self._whole(tail)
+            self.parts.put(tail, value)
+        return value
+
+    def _learn(self, piece: str):
+        """The value of a piece not in the young generation."""
+        value = self.pieces.old.get(piece)
+        if value is None:
+            head = piece.rstrip(SYMBOLS)
+            first = head[:1] if self.spaces and head[:1] in (" ", "\n") else ""
+            word = head[1:] if first else head
+            if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
+                if not self.spaces:
+                    word = word.lower()
+                value = self._word(" " + word if first == " " else word)
+                if first == "\n":
+                    value = self.plus(self._symbols("\n"), value)
+                if len(head) < len(piece):
+                    value = self.plus(value, self._symbols(piece[len(head) :]))
             else:
-                tail = x[len(head):]
-            if not self.spaces and head.isascii() and head.isalpha():
-                head = head.lower()
-            cuts.append((head, tail))
-            for part in (head, tail):
-                if part and part not in self.parts:
-                    need[part] = None
-        if need:
-            self.parts.update(zip(need, self._encode(list(need))))
-        for x, (head, tail) in zip(new, cuts):
-            self.known[x] = self.entry(x, self.parts[head] + self.parts[tail] if tail else self.parts[head])
+                value = self._whole(piece)
+        if len(piece) <= MAX_PIECE:
+            self.pieces.put(piece, value)
+        return value
 
     def values(self, texts: list[str]) -> list[list]:
-        """For each text the entries of its pieces in order."""
-        split, new = [], {}
-        known = self.known
+        """For each text the values of its pieces in order."""
+        out = []
         for text in texts:
             if _OTHER_SPACE.search(text):
-                runs = [text] if text else []
-            elif self.spaces:
-                runs = _RUNS.findall(text)
-            else:
-                runs = text.split()
-            split.append(runs)
-            for x in runs:
-                if x not in known:
-                    new[x] = None
-        if new:
-            long = [x for x in new if len(x) > MAX_PIECE]
-            short = [x for x in new if len(x) <= MAX_PIECE]
-            if len(self.known) + len(short) > CACHE_PIECES:
-                short = list(dict.fromkeys(x for runs in split for x in runs if len(x) <= MAX_PIECE))
-            self._learn(short)
-            if long:
-                whole = {x: self.entry(x, ids) for x, ids in zip(long, self._encode(long))}
-                return [[known[x] if x in known else whole[x] for x in runs] for runs in split]
-        return [[known[x] for x in runs] for runs in split]
-
-
-def id_bytes(_: str, ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+                out.append([self._whole(text)])
+                continue
+            runs = _RUNS.findall(text) if self.spaces else text.split()
+            found = list(map(self.pieces.young.get, runs))
+            if None in found:
+                found = [self.pieces.young.get(x) or self._learn(x) if v is None else v for x, v in zip(runs, found)]
+            out.append(found)
+        return out
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder != "little":
+        numbers.byteswap()
+    return numbers.tobytes()
