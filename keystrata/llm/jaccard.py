@@ -1,23 +1,31 @@
 """N-gram Jaccard join: exact metric-space join of shingle sets.
 
 Documents become sets of hashed word n-grams; equal sets are one *class*.  Jaccard
-distance obeys the triangle inequality, on which the join rests:
-
-1. Seeds.  A pair within the threshold shares one of the rarest shingles of both
-   (prefix filter: the ``n - ceil(t n) + 1`` rarest of each set, in one global order of
-   all shingles).  The classes that share such a shingle are a region; a region of one
-   class is done.  The order uses a sketch of document frequencies of fixed size
-   that counts every document; any order gives the exact result, this one keeps the
-   regions of common passages empty.
-2. Regions of more than ``SMALL`` classes elect ``PIVOTS`` pivots by salted hash.  Exact
-   distances to them make Voronoi cells: each class is native to the cell of its
-   nearest pivot and visits every cell whose pivot is not more than twice the
-   threshold distance farther (if y lies in that cell and d(x, y) <= r then
-   d(x, p) <= d(x, nearest) + 2 r).  Cells are the regions of the next round; a cell
-   whose classes are already linked to one another is done.
+distance obeys the triangle inequality, on which the join rests.  ``r`` is the
+distance of the threshold.
+
+1. Seeds.  A linked pair shares one of the rarest shingles of both (prefix filter:
+   the ``n - ceil(t n) + 1`` rarest of each set, in one order of all shingles), and its
+   sizes differ by the factor 1 / t at most, which is the triangle inequality with
+   the set of all shingles as pivot.  So a region is a shingle and a band of sizes; a
+   class is native to its own band and visits the next.  The order of shingles uses
+   a sketch of document frequencies of fixed size that counts every document; any
+   order gives the exact result, this one keeps common passages out of the seeds.
+2. Regions of more than ``SMALL`` classes elect ``PIVOTS`` pivots by salted hash, whose
+   distances up to 3 r make Voronoi cells.  A class is native to the cell of its
+   nearest pivot if that is within 2 r, else to the void; it visits each cell whose
+   pivot is at most 2 r farther than its nearest, and the void if its nearest is
+   farther than r.  (If d(x, y) <= r and y is native to p's cell, then d(x, p) <= d(x,
+   nearest) + 2 r and d(x, p) <= 3 r; if y is native to the void, x has no pivot within
+   r.)  Cells are the regions of the next round; one whose classes are already in
+   one component is done.
 3. A small region, and any left after ``ROUNDS`` rounds, joins its natives with all its
-   classes, leaving out pairs already in one component and pairs that the triangle
-   inequality parts, |d(x, p) - d(y, p)| > r.
+   classes, leaving out pairs already in one component and pairs that sizes or
+   the triangle inequality part.
+
+A pair is compared first by parity bitmaps: each shingle flips one of ``BITS`` bits, so
+two bitmaps differ in at most as many bits as the sets have shingles not in
+common, which bounds their distance from below.  Only pairs that pass ship sets.
 
 Linked pairs are joined to components by label propagation with pointer jumping.
 Nothing about documents reaches the driver but counts, the sketch (1 MB) and a
@@ -27,50 +35,67 @@ bit filter (2 MB at most).  Intermediate tables lie in the shared folder.
 from __future__ import annotations
 
 import math
-import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, UPPER, pieces_of, stored
+from .shared import pieces_of, stored
 
-_WORD = re.compile("[^\x20\x09-\x0d]+")
-_LOWER = str.maketrans(UPPER, LOWER)
 SKETCH, CHUNKS = 1 << 20, 16
-SMALL, PIVOTS, ROUNDS = 8, 4, 4
+SMALL, PIVOTS, ROUNDS = 24, 4, 4
+BITS = 2048
 #: Classes that a task remembers so as not to send the same one again.
 SEEN = 200_000
 #: Distinct words whose hashes a worker keeps.
 WORDS = 500_000
-_hashes: dict[str, int] = {}
+CLASSES = "kind int, key long, n long, class binary, bits binary, chunk int, counts binary"
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
+        return value
+
+
+_hashes = _Hashes()
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text; of the whole word sequence if it is shorter."""
-    words = _WORD.findall(text.translate(_LOWER)) if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word n-grams; of the whole word sequence if it is shorter.
+
+    Words part at the six ASCII white-space characters and A-Z become a-z, which
+    is what bytes.split and bytes.lower do.
+    """
     if len(_hashes) > WORDS:
         _hashes.clear()
-    found = list(map(_hashes.get, words))
-    if None in found:
-        for w in words:
-            if w not in _hashes:
-                _hashes[w] = xxhash.xxh3_64_intdigest(w.encode())
-        found = [_hashes[w] for w in words]
-    h = np.array(found, np.uint64)
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(width, len(h)), np.uint64)
-    for k in range(min(width, len(h))):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
+    words = [x.encode().lower().split() if x else [] for x in texts]
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words))).view(np.uint64)
+    out, at = [], 0
+    for w in words:
+        n, size = max(1, len(w) - width + 1), min(width, len(w))
+        own, at = h[at : at + len(w)], at + len(w)
+        if not size:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        mix = np.full(n, size, np.uint64)
+        for k in range(size):
+            mix = (mix ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            mix ^= mix >> np.uint64(29)
+            mix *= np.uint64(0xBF58476D1CE4E5B9)
+            mix ^= mix >> np.uint64(32)
+        out.append(np.unique(mix))
+    return out
+
+
+def bitmap(found: np.ndarray) -> bytes:
+    """Parity of the shingles at each of BITS places."""
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def least_common(n: int, percent: int) -> int:
@@ -93,13 +118,18 @@ class Join:
         shingle and no link.  Rows of the same key are rows of their own; null
         keys count as larger than any.
         """
-        first = stored(self.docs.mapInArrow(_first(self.width), "kind int, key long, n long, class binary, chunk int, counts binary"), "jaccard-classes")
+        first = stored(self.docs.mapInArrow(_first(self.width), CLASSES), "jaccard-classes")
         rows = first.filter("kind = 0").select("key", "n", "class")
-        order = _order(first.filter("kind = 1").select("chunk", "counts"))
-        seeds = self.docs.mapInArrow(_prefixes(self.width, self.percent, self.spark.sparkContext.broadcast(order)), "token long, class binary")
-        seeds = seeds.repartition(F.col("token")).groupBy("token", "class").agg(F.lit(True).alias("native"))
-        seeds = seeds.withColumn("size", F.expr("count(*) over (partition by token)")).filter("size > 1")
-        regions = stored(seeds.select(F.col("token").alias("region"), "class", "native", "size"), "jaccard-regions")
+        self.bits = first.filter("bits is not null").groupBy("class").agg(F.first("bits").alias("bits"), F.first("n").alias("n"))
+        order = self.spark.sparkContext.broadcast(_order(first.filter("kind = 1").select("chunk", "counts")))
+        seeds = self.docs.mapInArrow(_prefixes(self.width, self.percent, order), "token long, class binary, n long")
+        seeds = seeds.repartition(F.col("token")).groupBy("token", "class").agg(F.first("n").alias("n"))
+        # slightly wider bands than the factor 1 / t, so that rounding never parts a pair by two
+        band = F.floor(F.log("n") / F.lit(-math.log(self.percent / 100) * (1 + 1e-9)))
+        seeds = seeds.withColumn("native", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", band + F.when(F.col("native"), 0).otherwise(1))
+        here = Window.partitionBy("token", "band")
+        seeds = seeds.withColumn("size", F.count("*").over(here)).withColumn("any", F.max("native").over(here)).filter("size > 1 and any")
+        regions = stored(seeds.select(F.xxhash64("token", "band").alias("region"), "class", "n", "native", "size", F.lit(None).cast("double").alias("d")), "jaccard-regions")
         labels = self._linked(regions)
         least = rows.filter("n > 0").groupBy("class").agg(F.min("key").alias("least"))
         named = least.join(labels, "class").groupBy("label").agg(F.min("least").alias("least"))
@@ -111,25 +141,24 @@ class Join:
     def _linked(self, regions: DataFrame) -> DataFrame:
         """(class, label) of all classes with a link to another."""
         labels = self.spark.createDataFrame([], "class binary, label binary")
-        if regions.isEmpty():
-            return labels
-        sets = self._sets(regions)
-        links = None
+        sets = links = None
         for round_ in range(ROUNDS + 1):
             last = round_ == ROUNDS
-            near = regions if last else regions.filter(f"size <= {SMALL}")
             wide = None if last else regions.filter(f"size > {SMALL}")
-            pairs = _pairs(near, labels, self.reach, "d" in regions.columns)
+            pairs = self._pairs(regions if last else regions.filter(f"size <= {SMALL}"), labels).withColumn("far", F.lit(False))
             if wide is not None:
                 chosen = [F.min_by("class", F.xxhash64(F.lit(round_ * PIVOTS + j), "class")).alias(f"p{j}") for j in range(PIVOTS)]
                 pivots = wide.groupBy("region").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
-                wide = stored(wide.join(pivots, "region").select("region", "class", "native", F.explode("pivots").alias("pivot")), "jaccard-pivots")
-                own = wide.filter("class <> pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
+                wide = stored(wide.join(pivots, "region").select("region", "class", "n", "native", F.explode("pivots").alias("pivot")), "jaccard-pivots")
+                own = wide.filter("class <> pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"), F.lit(True).alias("far"))
                 pairs = pairs.unionByName(own)
-            known = stored(self._distances(pairs.distinct(), sets), "jaccard-distances")
+            pairs = stored(self._close(pairs.groupBy("a", "b").agg(F.max("far").alias("far"))), "jaccard-pairs")
+            if sets is None:
+                needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(wide.select("class"))
+                sets = self._sets(stored(needed.distinct(), "jaccard-needed"))
+            known = stored(self._distances(pairs, sets), "jaccard-distances")
             new = known.filter("linked").select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            links = stored(links.distinct(), "jaccard-links")
+            links = stored(new if links is None else links.unionByName(new).distinct(), "jaccard-links")
             labels = components(links)
             if wide is None or wide.isEmpty():
                 break
@@ -138,9 +167,25 @@ class Join:
                 break
         return labels
 
-    def _sets(self, regions: DataFrame) -> DataFrame:
-        """(class, shingles) of all classes in regions: texts pass a bit filter, then an exact semi-join."""
-        needed = stored(regions.select("class").distinct(), "jaccard-needed")
+    def _pairs(self, regions: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (a < b) of a native and any class of a region that may be linked and are not yet in one component."""
+        own = regions.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        x, y = own.alias("x"), own.alias("y")
+        met = (F.col("x.region") == F.col("y.region")) & F.col("x.native") & (F.col("x.label") != F.col("y.label"))
+        met = met & (~F.col("y.native") | (F.col("x.class") < F.col("y.class")))
+        met = met & (100 * F.least("x.n", "y.n") >= self.percent * F.greatest("x.n", "y.n"))
+        met = met & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= self.reach + 1e-9, F.lit(True))
+        return x.join(y, met).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+
+    def _close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that bitmaps cannot part: within r, or within 3 r where far."""
+        one = self.bits.select(F.col("class").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m"))
+        two = self.bits.select(F.col("class").alias("b"), F.col("bits").alias("y"), F.col("n"))
+        held = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n", F.when(F.col("far"), 3 * self.reach).otherwise(self.reach).alias("most"))
+        return held.mapInArrow(_apart, "a binary, b binary")
+
+    def _sets(self, needed: DataFrame) -> DataFrame:
+        """(class, shingles) of all needed classes: texts pass a bit filter, then an exact semi-join."""
         bits = 1 << min(24, max(16, math.ceil(math.log2(8 * needed.count() + 1))))
         at = F.conv(F.hex(F.substring("class", 1, 3)), 16, 10).cast("int") % bits
         words = needed.select(at.alias("at")).groupBy(F.expr("at div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, at % 32))").alias("set")).collect()
@@ -157,28 +202,20 @@ class Join:
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_compare(self.percent), "a binary, b binary, d double, linked boolean")
 
     def _cells(self, wide: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
-        """The Voronoi cells of the regions, each with its visitors, as regions of the next round."""
+        """The Voronoi cells and the void of each region, with their visitors, as regions of the next round."""
         both = known.select("a", "b", "d").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         both = both.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "d")
         far = wide.join(both, ["class", "pivot"], "left").withColumn("d", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-        far = far.withColumn("nearest", F.expr("min(struct(d, pivot)) over (partition by region, class)"))
-        far = far.filter(F.col("d") <= F.col("nearest.d") + 2 * self.reach + 1e-9)
-        cells = far.select(F.xxhash64("region", "pivot").alias("region"), "class", (F.col("native") & (F.col("pivot") == F.col("nearest.pivot"))).alias("native"), "d")
-        cells = cells.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        far = far.withColumn("near", F.min(F.when(F.col("d").isNotNull(), F.struct("d", "pivot"))).over(Window.partitionBy("region", "class")))
+        far = far.withColumn("inside", F.coalesce(F.col("near.d") <= 2 * self.reach - 1e-9, F.lit(False)))
+        at_home = F.col("native") & F.col("inside") & (F.col("pivot") == F.col("near.pivot"))
+        cells = far.filter(F.col("d") <= F.col("near.d") + 2 * self.reach + 1e-9).select(F.xxhash64("region", "pivot").alias("region"), "class", "n", at_home.alias("native"), "d")
+        void = far.filter(F.coalesce(F.col("near.d") > self.reach - 1e-9, F.lit(True))).groupBy("region", "class").agg(F.first("n").alias("n"), F.first(F.col("native") & ~F.col("inside")).alias("native"))
+        void = void.select(F.xxhash64("region").alias("region"), "class", "n", "native", F.lit(None).cast("double").alias("d"))
+        cells = cells.unionByName(void).join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
         kinds = cells.groupBy("region").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("native").alias("any"))
         kinds = kinds.filter("low <> high and any")
-        return stored(cells.join(kinds, "region").select("region", "class", "native", "size", "d"), "jaccard-regions")
-
-
-def _pairs(regions: DataFrame, labels: DataFrame, reach: float, apart: bool) -> DataFrame:
-    """Pairs (a < b) of a native and any class of a region that may be linked and are not yet joined."""
-    own = regions.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    x, y = own.alias("x"), own.alias("y")
-    met = (F.col("x.region") == F.col("y.region")) & F.col("x.native") & (F.col("x.class") != F.col("y.class")) & (F.col("x.label") != F.col("y.label"))
-    met = met & (~F.col("y.native") | (F.col("x.class") < F.col("y.class")))
-    if apart:
-        met = met & (F.abs(F.col("x.d") - F.col("y.d")) <= reach + 1e-9)
-    return x.join(y, met).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+        return stored(cells.join(kinds, "region").select("region", "class", "n", "native", "size", "d"), "jaccard-regions")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,7 +241,7 @@ def with_class(docs: DataFrame, width: int, text: str = "text", name: str = "cla
     def run(batches):
         for batch in batches:
             for part in pieces_of(batch):
-                found = pa.array([_class(shingles(x, width)) for x in part.column(at).to_pylist()], pa.binary())
+                found = pa.array([_class(s) for s in shingle_sets(part.column(at).to_pylist(), width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
@@ -237,17 +274,25 @@ def _class(found: np.ndarray) -> bytes | None:
 
 
 def _first(width: int):
-    """Each row's class, then the task's part of the sketch."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    """Each row's class and, once for each task, its bitmap; then the task's part of the sketch."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("bits", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.uint32)
+        counts, seen = np.zeros(SKETCH, np.uint32), set()
         for keys, texts in _texts(batches):
-            sets = [shingles(x, width) for x in texts]
-            for s in sets:
-                counts[(s % np.uint64(SKETCH)).astype(np.int64)] += 1
+            sets = shingle_sets(texts, width)
+            classes, bits = [_class(s) for s in sets], []
+            for c, s in zip(classes, sets):
+                if c is None or c in seen:
+                    bits.append(None)
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(c)
+                bits.append(bitmap(s))
+                counts[s & np.uint64(SKETCH - 1)] += 1
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         small = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, -1)
         for i in range(CHUNKS):
             if small[i].any():
@@ -278,9 +323,8 @@ def _prefixes(width: int, percent: int, order):
     def run(batches):
         rank, seen = order.value, set()
         for _, texts in _texts(batches):
-            tokens, classes = [], []
-            for x in texts:
-                s = shingles(x, width)
+            tokens, classes, sizes = [], [], []
+            for s in shingle_sets(texts, width):
                 c = _class(s)
                 if c is None or c in seen:
                     continue
@@ -288,11 +332,12 @@ def _prefixes(width: int, percent: int, order):
                     seen.clear()
                 seen.add(c)
                 n = len(s) - least_common(len(s), percent) + 1
-                where = np.lexsort((s, rank[(s % np.uint64(SKETCH)).astype(np.int64)]))[:n]
+                where = np.lexsort((s, rank[s & np.uint64(SKETCH - 1)]))[:n]
                 tokens.append(s[where].view(np.int64))
                 classes += [c] * n
+                sizes.append(np.full(n, len(s)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(classes, pa.binary())], names=["token", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(classes, pa.binary()), pa.array(np.concatenate(sizes))], names=["token", "class", "n"])
 
     return run
 
@@ -304,8 +349,7 @@ def _classes(width: int, mask: np.ndarray):
         bits, seen = len(mask) * 32, set()
         for _, texts in _texts(batches):
             out = {}
-            for x in texts:
-                s = shingles(x, width)
+            for s in shingle_sets(texts, width):
                 c = _class(s)
                 if c is None or c in seen:
                     continue
@@ -320,6 +364,17 @@ def _classes(width: int, mask: np.ndarray):
     return run
 
 
+def _apart(batches):
+    """The pairs whose bitmaps allow a distance up to ``most``: h different bits mean a distance of 2 h / (m + n + h) at least."""
+    for batch in batches:
+        for part in pieces_of(batch, 4096):
+            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (2, 3))
+            h = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+            m, n, most = (part.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6))
+            held = pa.array(np.flatnonzero(2 * h <= (most + 1e-9) * (m + n + h)))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(held), part.column(1).take(held)], names=["a", "b"])
+
+
 def _compare(percent: int):
     def run(batches):
         for batch in batches:
