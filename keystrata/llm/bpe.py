@@ -126,16 +126,17 @@ def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
     def short(batches):
         own = tokenizer(tokenizer_path)
-        entry = lambda x: (len(x), ",".join(map(str, x)), own.decode(x, skip_special_tokens=False), tuple(x) if ids else ())
-        plus = lambda a, b: (a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2], a[3] + b[3])
+        entry = lambda x: (len(x), ",".join(map(str, x)), own.decode(x, skip_special_tokens=False))
+        plus = lambda a, b: (a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2])
         pieces = Pieces(tokenizer_path, True, entry, plus)
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in pieces_of(batch, 64):
                 data, out = part.to_pydict(), []
                 for k, found in zip(data["key"], pieces.values(data["text"])):
+                    shown = ",".join([x[1] for x in found])
                     out.append({
-                        "key": k, "n_tokens": sum(x[0] for x in found), "ids": [i for x in found for i in x[3]] if ids else None,
-                        "ids_sha256": hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest(),
+                        "key": k, "n_tokens": sum(x[0] for x in found), "ids": list(map(int, shown.split(","))) if ids and shown else [] if ids else None,
+                        "ids_sha256": hashlib.sha256(shown.encode()).hexdigest(),
                         "decoded_sha256": hashlib.sha256("".join([x[2] for x in found]).encode()).hexdigest(),
                     })
                 yield pa.RecordBatch.from_pylist(out, schema=_OUT)

@@ -52,7 +52,7 @@ BITS = 2048
 #: Classes that a task remembers so as not to send the same one again.
 SEEN = 200_000
 #: Distinct words whose hashes a worker keeps.
-WORDS = 500_000
+WORDS = 150_000
 CLASSES = "kind int, key long, n long, class binary, bits binary, chunk int, counts binary"
 
 

@@ -32,6 +32,8 @@ from .tokenizing import Pieces, id_bytes
 
 BLOCK_IDS = 1 << 16
 LEVEL = 3
+#: Pieces that a worker keeps in a generation while encoding, which is most of the work here.
+PIECES = 600_000
 BLOCKS = "shard int, block int, before long, n_ids int, bits boolean, planes array<binary>, keys array<long>, counts array<long>, offsets array<long>, parts array<long>"
 READ = "key long, shard int, at long, part long, first long, n long, whole boolean, crc long, ids binary"
 
@@ -92,7 +94,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key:
     out = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int32()), ("bits", pa.bool_()), ("planes", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
 
     def encode(batches):
-        pieces = Pieces(tokenizer_path, False, id_bytes, bytes.__add__)
+        pieces = Pieces(tokenizer_path, False, id_bytes, bytes.__add__, PIECES)
 
         def docs_of():
             number = 0

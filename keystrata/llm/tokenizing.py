@@ -13,8 +13,8 @@ import re
 import sys
 from array import array
 
-#: Entries in a generation of a worker's memory; about 200 bytes each.
-CACHE_PIECES = 600_000
+#: Entries in a generation of a worker's memory, unless given; about 200 bytes each.
+CACHE_PIECES = 150_000
 #: Text whose spaces are only these four is cut at them; any other is encoded whole.
 _OTHER_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
 _RUNS = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -84,10 +84,10 @@ class Pieces:
     the library's merge step; all else takes the library's whole way.
     """
 
-    def __init__(self, path: str, spaces: bool, entry, plus):
+    def __init__(self, path: str, spaces: bool, entry, plus, size: int = CACHE_PIECES):
         self.own, self.spaces, self.entry, self.plus = tokenizer(path), spaces, entry, plus
         self.model, self.letters = self.own.model, _byte_letters()
-        self.pieces, self.parts = Memory(CACHE_PIECES), Memory(CACHE_PIECES)
+        self.pieces, self.parts = Memory(size), Memory(size)
 
     def _word(self, word: str):
         """The value of Latin-1 letters, for ``spaces`` perhaps after a space."""
