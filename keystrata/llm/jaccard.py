@@ -17,8 +17,8 @@ distance of the threshold.
    pivot is at most 2 r farther than its nearest, and the void if its nearest is
    farther than r.  (If d(x, y) <= r and y is native to p's cell, then d(x, p) <= d(x,
    nearest) + 2 r and d(x, p) <= 3 r; if y is native to the void, x has no pivot within
-   r.)  Cells are the regions of the next round; one whose classes are already in
-   one component is done.
+   r.)  Cells of the same pivot are one region of the next round; one whose classes
+   are already in one component is done.
 3. A small region, and any left after ``ROUNDS`` rounds, joins its natives with all its
    classes, leaving out pairs already in one component and pairs that sizes or
    the triangle inequality part.
@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from .shared import pieces_of, stored
 
 SKETCH, CHUNKS = 1 << 20, 16
-SMALL, PIVOTS, ROUNDS = 24, 4, 4
+SMALL, PIVOTS, ROUNDS = 24, 4, 2
 BITS = 2048
 #: Classes that a task remembers so as not to send the same one again.
 SEEN = 200_000
@@ -140,8 +140,7 @@ class Join:
 
     def _linked(self, regions: DataFrame) -> DataFrame:
         """(class, label) of all classes with a link to another."""
-        labels = self.spark.createDataFrame([], "class binary, label binary")
-        sets = links = None
+        labels = sets = links = None
         for round_ in range(ROUNDS + 1):
             last = round_ == ROUNDS
             wide = None if last else regions.filter(f"size > {SMALL}")
@@ -167,12 +166,22 @@ class Join:
                 break
         return labels
 
-    def _pairs(self, regions: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (a < b) of a native and any class of a region that may be linked and are not yet in one component."""
-        own = regions.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        x, y = own.alias("x"), own.alias("y")
-        met = (F.col("x.region") == F.col("y.region")) & F.col("x.native") & (F.col("x.label") != F.col("y.label"))
-        met = met & (~F.col("y.native") | (F.col("x.class") < F.col("y.class")))
+    def _pairs(self, regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Pairs (a < b) of a native and any class of a region that may be linked and are not yet in one component.
+
+        Once there are components, one of each pair lies outside the region's
+        largest one, so a region of near copies that are joined already costs
+        its strays times its size, not its size squared.
+        """
+        if labels is None:
+            own = regions.withColumn("label", F.col("class"))
+            x, met = own.alias("x"), F.col("x.native") & (~F.col("y.native") | (F.col("x.class") < F.col("y.class")))
+        else:
+            own = regions.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+            most = own.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+            x, met = own.join(most, "region").filter("label <> most").alias("x"), F.col("x.native") | F.col("y.native")
+        y = own.alias("y")
+        met = met & (F.col("x.region") == F.col("y.region")) & (F.col("x.label") != F.col("y.label"))
         met = met & (100 * F.least("x.n", "y.n") >= self.percent * F.greatest("x.n", "y.n"))
         met = met & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= self.reach + 1e-9, F.lit(True))
         return x.join(y, met).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
@@ -209,10 +218,13 @@ class Join:
         far = far.withColumn("near", F.min(F.when(F.col("d").isNotNull(), F.struct("d", "pivot"))).over(Window.partitionBy("region", "class")))
         far = far.withColumn("inside", F.coalesce(F.col("near.d") <= 2 * self.reach - 1e-9, F.lit(False)))
         at_home = F.col("native") & F.col("inside") & (F.col("pivot") == F.col("near.pivot"))
-        cells = far.filter(F.col("d") <= F.col("near.d") + 2 * self.reach + 1e-9).select(F.xxhash64("region", "pivot").alias("region"), "class", "n", at_home.alias("native"), "d")
-        void = far.filter(F.coalesce(F.col("near.d") > self.reach - 1e-9, F.lit(True))).groupBy("region", "class").agg(F.first("n").alias("n"), F.first(F.col("native") & ~F.col("inside")).alias("native"))
-        void = void.select(F.xxhash64("region").alias("region"), "class", "n", "native", F.lit(None).cast("double").alias("d"))
-        cells = cells.unionByName(void).join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        cells = far.filter(F.col("d") <= F.col("near.d") + 2 * self.reach + 1e-9).select(F.xxhash64("pivot").alias("region"), "class", "n", at_home.alias("native"), "d")
+        void = far.filter(F.coalesce(F.col("near.d") > self.reach - 1e-9, F.lit(True)))
+        void = void.groupBy("region", "class").agg(F.first("n").alias("n"), F.first(F.col("native") & ~F.col("inside")).alias("native"), F.xxhash64(F.array_sort(F.collect_list("pivot"))).alias("void"))
+        void = void.select(F.col("void").alias("region"), "class", "n", "native", F.lit(None).cast("double").alias("d"))
+        # regions with the same pivot share its cell, and those with the same pivots their void
+        cells = cells.unionByName(void).groupBy("region", "class").agg(F.first("n").alias("n"), F.max("native").alias("native"), F.first("d").alias("d"))
+        cells = cells.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
         kinds = cells.groupBy("region").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("native").alias("any"))
         kinds = kinds.filter("low <> high and any")
         return stored(cells.join(kinds, "region").select("region", "class", "n", "native", "size", "d"), "jaccard-regions")
