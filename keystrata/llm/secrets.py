@@ -18,8 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of at least 16 characters of keys with a digit and a letter in it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: A run of at least 16 characters of keys with a digit and a letter in it; = belongs to it only as padding at its end, so that a key may follow one.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Characters of context looked at on each side.
 CONTEXT = 48
 MAX_FINDINGS = 4000
@@ -172,10 +172,12 @@ def training(findings: DataFrame) -> Forest:
 
 def scan(text: Column, path: Column, forest: Forest) -> Column:
     """Array of structs (candidate, score) of a text's candidates in order; empty for null and for texts without one."""
-    parts = F.split(text, CANDIDATE, -1)
+    parts, runs = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    # what stands before a run begins with the run before it: a key's name may be a run itself
+    led = F.transform(F.arrays_zip(F.concat(F.array(F.lit("")), runs).alias("run"), parts.alias("part")), lambda x: F.concat(x["run"], x["part"]))
     near = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("candidate"),
-        F.transform(parts, lambda x: F.substr(x, F.greatest(F.lit(1), F.length(x) - CONTEXT + 1))).alias("before"),
+        runs.alias("candidate"),
+        F.transform(led, lambda x: F.substr(x, F.greatest(F.lit(1), F.length(x) - CONTEXT + 1))).alias("before"),
         F.slice(F.transform(parts, lambda x: F.substring(x, 1, CONTEXT)), 2, F.size(parts)).alias("after"),
     )
     near = F.filter(near, lambda x: x["candidate"].isNotNull())

@@ -52,6 +52,23 @@ def test_false_positives_stay_and_secrets_go(spark, forest):
     assert got[8]["redacted"] is None and got[9]["redacted"] == ""
 
 
+def test_unquoted_assignments(spark, forest):
+    """NAME=key, ?name=key and name:key; = ends a key only as padding."""
+    mixed = "q8Zt3LmVx0Rb7YwPk2NdJ5sHc9GfUa4EiToBn6Qz"
+    secret = [
+        (f"API_KEY={KEY}", KEY), (f"export SECRET={KEY}\nX=1", KEY), (f"see http://h/x?token={KEY}", KEY), (f"https://h.example/p?a=1&api_key={mixed}&b=2", mixed),
+        (f"password:{KEY}", KEY), (f"token={mixed[:38]}== end", f"{mixed[:38]}=="), (f"MY_SERVICE_SECRET_KEY_2={KEY}", KEY), (f"SERVICE1_PRODUCTION_API_KEY={mixed}", mixed),
+    ]
+    harmless = [f"commit={KEY}", f"etag={KEY}", "http://h/x?page=some-page-of-2024-text.html", "http://h/x?id=123e4567-e89b-12d3-a456-426614174000"]
+    rows = [(i, t, "src1") for i, t in enumerate([t for t, _ in secret] + harmless)]
+    got = {r["key"]: r for r in secrets.find(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), forest).collect()}
+    for i, (text, key) in enumerate(secret):
+        assert got[i]["redacted"] == text.replace(key, secrets.REDACTED)
+        assert got[i]["secrets_sha256"] == [hashlib.sha256(key.encode()).hexdigest()]
+    for i, text in enumerate(harmless, len(secret)):
+        assert got[i]["n_candidates"] == 1 and got[i]["redacted"] == text
+
+
 def test_odd_rows_and_nothing(odd, empty, forest):
     assert secrets.find(odd, forest).count() == len(ODD)
     assert secrets.find(empty, forest).count() == 0
