@@ -24,8 +24,15 @@ from .shared import pieces_of
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
-#: (bytes from, least ratio, greatest ratio); shorter texts than the first are not judged.
-BANDS = ((128, 0.6, 4.0), (256, 1.1, 4.0), (1024, 1.25, 4.5), (4096, 1.35, 5.5), (16384, 1.4, 7.0), (131072, 1.45, 9.0))
+_ASCII = bytes(range(128))
+#: (bytes from, least ratio, greatest ratio); shorter texts than the first are not judged.  The least ratio lies above that
+#: of random base64, in one run or in words, at every length of the band.
+BANDS = (
+    (128, 1.05, 4.0), (160, 1.08, 4.0), (192, 1.12, 4.0), (224, 1.15, 4.0), (256, 1.18, 4.0), (384, 1.24, 4.0), (512, 1.29, 4.0), (768, 1.32, 4.0),
+    (1024, 1.4, 4.5), (2048, 1.42, 4.5), (4096, 1.45, 5.5), (16384, 1.5, 7.0), (131072, 1.5, 9.0),
+)
+#: The same for text that is for the most part not ASCII: scripts of many characters compress as little as base64, which is ASCII.
+DENSE_BANDS = ((128, 0.0, 4.0), (256, 1.0, 4.0), (1024, 1.25, 4.5), (4096, 1.35, 5.5), (16384, 1.38, 7.0), (131072, 1.38, 9.0))
 CHUNK = 2048
 #: Share of a document's chunks that may lie outside their band.
 ODD_CHUNKS = 0.25
@@ -70,17 +77,24 @@ def in_band(size: int, ratio: float, bands=BANDS) -> bool:
     return not held or held[-1][1] <= ratio <= held[-1][2]
 
 
-def bands_of(raw: bytes, own: zstandard.ZstdCompressor, bands=BANDS, chunk: int = CHUNK) -> tuple[float, int, int, bool]:
-    """Ratio of the whole, chunks judged, chunks outside their band, whether the whole lies in its band."""
+def is_dense(raw: bytes) -> bool:
+    return not raw.isascii() and 2 * len(raw.translate(None, _ASCII)) > len(raw)
+
+
+def bands_of(raw: bytes, own: zstandard.ZstdCompressor, bands=BANDS, chunk: int = CHUNK, dense=DENSE_BANDS) -> tuple[float, int, int, bool]:
+    """Ratio of the whole, chunks judged, chunks outside their band, whether the whole lies in its band.
+
+    The last chunk is judged by the band of its own length, if it is long enough for one.
+    """
     ratio = len(raw) / len(own.compress(raw)) if raw else 0.0
     n = odd = 0
     for at in range(0, len(raw), chunk):
         part = raw[at : at + chunk]
-        if at and len(part) < chunk // 2:
+        if at and len(part) < min(chunk, bands[0][0]):
             break
         n += 1
-        odd += not in_band(len(part), len(part) / len(own.compress(part)), bands)
-    return ratio, n, odd, in_band(len(raw), ratio, bands)
+        odd += not in_band(len(part), len(part) / len(own.compress(part)), dense if is_dense(part) else bands)
+    return ratio, n, odd, in_band(len(raw), ratio, dense if is_dense(raw) else bands)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bands=BANDS, chunk: int = CHUNK, odd_chunks: float = ODD_CHUNKS, least_words: int = 10, repeat_percent: int = 20) -> DataFrame:

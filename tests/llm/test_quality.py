@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+import zstandard
 
 from keystrata.llm import quality
 
@@ -65,6 +66,27 @@ def test_bands(spark):
     assert got == {1: True, 2: False, 3: False, 4: True, 5: True}
 
 
+def test_noise_at_every_length_and_in_part():
+    """Random base64, in one run, in words or in part of a text, lies outside; prose and dense scripts lie inside."""
+    draw, own = random.Random(8), zstandard.ZstdCompressor(level=quality.LEVEL)
+    kept = lambda raw: (lambda ratio, n, odd, fits: fits and odd <= quality.ODD_CHUNKS * n)(*quality.bands_of(raw, own))
+    words = ["".join(draw.choice("etaoinshrdlucmfw") for _ in range(draw.randint(2, 8))) for _ in range(400)]
+    prose = " ".join(draw.choices(words, [1 / (i + 3) for i in range(400)], k=40000)).encode()
+    one_run = lambda n: base64.b64encode(draw.randbytes(n))[:n]
+    in_words = lambda n: b" ".join(base64.b64encode(draw.randbytes(6)) for _ in range(n // 9 + 1))[:n]
+    for n in [b[0] + d for b in quality.BANDS for d in (0, b[0] // 8)] + [649, 974, 1819, 2729, 3899, 8099, 13499]:
+        assert not kept(one_run(n)) and not kept(in_words(n)), n
+        assert kept(prose[:n]), n
+    assert not kept(prose[:6000] + one_run(14000)) and not kept(prose[:20000] + in_words(10000))
+    assert kept(prose[:14000] + one_run(1500))
+    # the last chunk counts, if short as well: 2 KB of prose and 900 bytes of base64
+    assert quality.bands_of(prose[:2048] + one_run(900), own)[1:3] == (2, 1)
+    assert quality.bands_of(prose[: 2048 + 100], own)[1:3] == (1, 0)
+    signs = [chr(0x4E00 + 7 * i) for i in range(2500)]
+    dense = "".join(draw.choices(signs, [1 / (i + 8) for i in range(2500)], k=20000)).encode()
+    assert all(kept(dense[: 3 * n]) for n in (50, 100, 400, 1000, 5000))
+
+
 def test_nothing(empty):
     assert quality.judge(empty).count() == 0
 
