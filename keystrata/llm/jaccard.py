@@ -112,11 +112,13 @@ class Join:
         self.docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def components(self) -> DataFrame:
-        """key, n_shingles, class and component_id: the smallest key that links reach, its own included.
+        """key, n_shingles, class, component_id (the smallest key that links reach, its own included) and label.
 
         One row for each row of the table.  Null and wordless texts have no
         shingle and no link.  Rows of the same key are rows of their own; null
-        keys count as larger than any.
+        keys count as larger than any.  The label, the smallest class of the
+        component, tells components apart where keys are null or repeated; it
+        is null without words.
         """
         first = stored(self.docs.mapInArrow(_first(self.width), CLASSES), "jaccard-classes")
         rows = first.filter("kind = 0").select("key", "n", "class")
@@ -133,10 +135,10 @@ class Join:
         labels = self._linked(regions)
         least = rows.filter("n > 0").groupBy("class").agg(F.min("key").alias("least"))
         named = least.join(labels, "class").groupBy("label").agg(F.min("least").alias("least"))
-        named = labels.join(named, "label").select("class", F.col("least").alias("joined"))
-        least = least.join(named, "class", "left").select("class", F.coalesce("joined", "least").alias("component_id"))
+        named = labels.join(named, "label").select("class", "label", F.col("least").alias("joined"))
+        least = least.join(named, "class", "left").select("class", F.coalesce("joined", "least").alias("component_id"), F.coalesce("label", "class").alias("label"))
         out = rows.join(least, "class", "left")
-        return out.select("key", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+        return out.select("key", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "label")
 
     def _linked(self, regions: DataFrame) -> DataFrame:
         """(class, label) of all classes with a link to another."""
@@ -260,14 +262,14 @@ def with_class(docs: DataFrame, width: int, text: str = "text", name: str = "cla
 
 
 def one_of_each(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps the document of its smallest key.
+    """The rows of ``docs`` that stay when each component keeps one: of the smallest key (null last), the smallest class and the least row.
 
-    Rows with that key and class are one document: the least of them stays.
+    Components are told apart by their labels, as keys may be null or repeated.
     Texts without words have no link, so all their rows stay.
     """
-    groups = Join(docs, width, percent, key, text).components()
-    kept = groups.filter(F.col("class").isNotNull() & F.col("key").eqNullSafe(F.col("component_id")))
-    kept = stored(kept.groupBy("component_id").agg(F.min("class").alias("__kept")).withColumnRenamed("component_id", "__id"), "jaccard-kept")
+    groups = Join(docs, width, percent, key, text).components().filter("class is not null")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "class")).alias("first")
+    kept = stored(groups.groupBy("label").agg(first).select(F.col("first.class").alias("__kept"), F.col("first.key").alias("__id")), "jaccard-kept")
     df = with_class(docs, width, text, "__class")
     held = df.join(kept, (df["__class"] == kept["__kept"]) & df[key].eqNullSafe(kept["__id"]), "left_semi")
     whole = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")

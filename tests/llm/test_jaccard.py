@@ -98,6 +98,21 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_one_of_each_with_null_and_repeated_keys(spark):
+    """Components are kept apart where their documents share a key or have none."""
+    apart = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = [t + " end" for t in apart]
+    rows = [
+        (None, apart[0]), (None, apart[1]), (None, near[1]), (None, apart[1]),  # null keys: two components
+        (5, apart[2]), (5, apart[3]), (9, near[3]), (9, near[2]),  # one key on two components, both with near copies
+        (None, apart[4]), (7, near[4]), (7, apart[5]), (7, apart[5]), (None, None), (None, ""),
+    ]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 5, 80).collect()]
+    one = next(t for _, t in kept if t in (apart[1], near[1]))
+    want = [(None, apart[0]), (None, one), (5, apart[2]), (5, apart[3]), (7, near[4]), (7, apart[5]), (None, None), (None, "")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_links_by_label_propagation(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x1", "x2")]
     edges = spark.createDataFrame([(bytearray(a.encode()), bytearray(b.encode())) for a, b in chain], "a binary, b binary")
