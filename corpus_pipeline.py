@@ -19,11 +19,12 @@ MIX_SHARE, MIX_EPOCHS, MIX_SEED = 1.5, 2.0, 20240229
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null texts, no letter); lang becomes the language found."""
+    """Drops documents without a language (null texts, no letter); lang becomes the language found, or stays if nothing could be learned."""
     network = language.train(docs, ~queries.held_out(F.col("doc_id")))
+    if network is None:
+        return docs.select(*COLUMNS).filter(language.has_letter(F.col("text")))
     found = language.identify(docs, network, keep=["text", "source", "n_chars"])
-    if network is not None:
-        found = found.filter(F.col("lang_pred") != language.UNDETERMINED)
+    found = found.filter(F.col("lang_pred") != language.UNDETERMINED)
     return found.select(F.col("key").alias("doc_id"), "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 

@@ -181,6 +181,11 @@ def train(docs: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "
     return network
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text is not null and holds a letter, without which it has no language."""
+    return F.coalesce(F.rlike(text, F.lit(_LETTER.pattern)), F.lit(False))
+
+
 def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
     """One row for each row of ``docs``: key, lang_pred, score and the columns in ``keep``.
 

@@ -40,6 +40,18 @@ def test_stages_keep_columns_and_take_odd_rows(spark, empty):
                 assert out.columns == list(corpus_pipeline.COLUMNS)
 
 
+def test_nothing_to_learn_from(spark):
+    """Without a label, texts without a letter go all the same, and the rest keep what they have."""
+    texts = {1: "plain words", 2: None, 3: "", 4: "12 _ 34 !?", 5: "日本", 6: "٣٤ ²", 7: "5 é", 8: " \n"}
+    docs = spark.createDataFrame([(k, t, None, "s", 1) for k, t in texts.items()] + [(9, None, "de", "s", 0)], SCHEMA)
+    got = {r["doc_id"]: (r["text"], r["lang"]) for r in stage("language_id")(spark, docs, SMALL).collect()}
+    assert got == {k: (texts[k], None) for k in (1, 5, 7)}
+    # labels that may not be learned from stay
+    ids = [i for i, held in spark.range(60).select("id", queries.held_out(F.col("id"))).collect() if held]
+    held = spark.createDataFrame([(i, "ein Satz", "de", "s", 8) for i in ids], SCHEMA)
+    assert {r["lang"] for r in stage("language_id")(spark, held, SMALL).collect()} == {"de"}
+
+
 def test_near_duplicates_keep_one_of_each(spark):
     rows = copies(5, 8, 6)
     out = stage("near_duplicates")(spark, documents(spark, rows), SMALL)
