@@ -120,6 +120,24 @@ class Join:
         component, tells components apart where keys are null or repeated; it
         is null without words.
         """
+        rows, regions = self._seeded()
+        labels = self._linked(regions)
+        least = rows.filter("n > 0").groupBy("class").agg(F.min("key").alias("least"))
+        named = least.join(labels, "class").groupBy("label").agg(F.min("least").alias("least"))
+        named = labels.join(named, "label").select("class", "label", F.col("least").alias("joined"))
+        least = least.join(named, "class", "left").select("class", F.coalesce("joined", "least").alias("component_id"), F.coalesce("label", "class").alias("label"))
+        out = rows.join(least, "class", "left")
+        return out.select("key", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "label")
+
+    def links(self) -> DataFrame:
+        """(a, b), a < b: every two classes that are linked, without the short cuts that components allow.
+
+        Rows of one class are linked too, which needs no pair.
+        """
+        return self._linked(self._seeded()[1], every=True)
+
+    def _seeded(self) -> tuple[DataFrame, DataFrame]:
+        """The rows (key, n, class) and the regions of the first round."""
         first = stored(self.docs.mapInArrow(_first(self.width), CLASSES), "jaccard-classes")
         rows = first.filter("kind = 0").select("key", "n", "class")
         self.bits = first.filter("bits is not null").groupBy("class").agg(F.first("bits").alias("bits"), F.first("n").alias("n"))
@@ -131,17 +149,10 @@ class Join:
         seeds = seeds.withColumn("native", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", band + F.when(F.col("native"), 0).otherwise(1))
         here = Window.partitionBy("token", "band")
         seeds = seeds.withColumn("size", F.count("*").over(here)).withColumn("any", F.max("native").over(here)).filter("size > 1 and any")
-        regions = stored(seeds.select(F.xxhash64("token", "band").alias("region"), "class", "n", "native", "size", F.lit(None).cast("double").alias("d")), "jaccard-regions")
-        labels = self._linked(regions)
-        least = rows.filter("n > 0").groupBy("class").agg(F.min("key").alias("least"))
-        named = least.join(labels, "class").groupBy("label").agg(F.min("least").alias("least"))
-        named = labels.join(named, "label").select("class", "label", F.col("least").alias("joined"))
-        least = least.join(named, "class", "left").select("class", F.coalesce("joined", "least").alias("component_id"), F.coalesce("label", "class").alias("label"))
-        out = rows.join(least, "class", "left")
-        return out.select("key", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "label")
+        return rows, stored(seeds.select(F.xxhash64("token", "band").alias("region"), "class", "n", "native", "size", F.lit(None).cast("double").alias("d")), "jaccard-regions")
 
-    def _linked(self, regions: DataFrame) -> DataFrame:
-        """(class, label) of all classes with a link to another."""
+    def _linked(self, regions: DataFrame, every: bool = False) -> DataFrame:
+        """(class, label) of all classes with a link to another, or with ``every`` all links (a, b)."""
         labels = sets = links = None
         for round_ in range(ROUNDS + 1):
             last = round_ == ROUNDS
@@ -160,13 +171,13 @@ class Join:
             known = stored(self._distances(pairs, sets), "jaccard-distances")
             new = known.filter("linked").select("a", "b")
             links = stored(new if links is None else links.unionByName(new).distinct(), "jaccard-links")
-            labels = components(links)
+            labels = None if every else components(links)
             if wide is None or wide.isEmpty():
                 break
             regions = self._cells(wide, known, labels)
             if regions.isEmpty():
                 break
-        return labels
+        return links if every else labels
 
     def _pairs(self, regions: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Pairs (a < b) of a native and any class of a region that may be linked and are not yet in one component.
@@ -212,7 +223,7 @@ class Join:
         two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_compare(self.percent), "a binary, b binary, d double, linked boolean")
 
-    def _cells(self, wide: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    def _cells(self, wide: DataFrame, known: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The Voronoi cells and the void of each region, with their visitors, as regions of the next round."""
         both = known.select("a", "b", "d").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         both = both.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "d")
@@ -226,7 +237,7 @@ class Join:
         void = void.select(F.col("void").alias("region"), "class", "n", "native", F.lit(None).cast("double").alias("d"))
         # regions with the same pivot share its cell, and those with the same pivots their void
         cells = cells.unionByName(void).groupBy("region", "class").agg(F.first("n").alias("n"), F.max("native").alias("native"), F.first("d").alias("d"))
-        cells = cells.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        cells = cells.withColumn("label", F.col("class")) if labels is None else cells.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
         kinds = cells.groupBy("region").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("native").alias("any"))
         kinds = kinds.filter("low <> high and any")
         return stored(cells.join(kinds, "region").select("region", "class", "n", "native", "size", "d"), "jaccard-regions")

@@ -71,6 +71,18 @@ def test_cells_of_a_large_group(spark, monkeypatch):
         assert joined(spark, rows, 3, 80) == brute(rows, 3, 80)
 
 
+def test_every_link(spark, monkeypatch):
+    """All linked pairs of different texts, those inside a component as well."""
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rows = copies(7, 2, 30, words=50, edits=5)
+    sets = {frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in rows)}
+    want = sum(100 * len(a & b) >= 80 * len(a | b) for a in sets for b in sets if a is not b) // 2
+    got = jaccard.Join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 3, 80).links().collect()
+    assert len(got) == len({(bytes(r["a"]), bytes(r["b"])) for r in got}) == want > len(sets)
+    assert all(bytes(r["a"]) < bytes(r["b"]) for r in got)
+
+
 def test_odd_rows(spark):
     rows = [(r[0], r[1]) for r in ODD]
     assert joined(spark, rows, 3, 90) == brute(rows, 3, 90)
