@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +11,8 @@ from .operators import codec, hot
 from .operators.hashed import HashedIndex
 from .operators.mutable import MutableIndex
 from .operators.ordered import OrderedIndex
-from .operators.static import StaticIndex
-from .plans.rank import shared_folder
+from .operators.static import IndexConfig, StaticIndex
+from .plans.rank import ranked, scratch
 from .streaming.mutable_stream import MutableStream
 
 
@@ -68,9 +66,25 @@ def static_semi(spark, sf_dir):
     return _buyers(spark, sf_dir).semi(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("SELECT c_custkey * 3 AS probe, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey * 3)")
 def static_anti(spark, sf_dir):
-    return _buyers(spark, sf_dir).anti(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return _buyers(spark, sf_dir).anti(table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("probe"), "c_name"), "probe")
+
+
+@register(
+    "WITH i AS (SELECT c_name AS key, row_number() OVER (ORDER BY c_name) - 1 AS id FROM customer) "
+    "SELECT o_orderkey, i.id FROM orders LEFT JOIN i ON key = 'Customer#' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0')"
+)
+def static_lookup_str(spark, sf_dir):
+    probes = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Customer#"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("probe"))
+    index = StaticIndex.configured(table(spark, sf_dir, "customer"), IndexConfig(key="c_name", strict=True))
+    return index.lookup(probes, "probe").select("o_orderkey", "id")
+
+
+@register("SELECT count(*) AS capacity, max(c_custkey) - min(c_custkey) + 1 AS span FROM customer")
+def static_capacity(spark, sf_dir):
+    index = customers(spark, sf_dir)
+    return index.table.agg(F.lit(index.slot_capacity()).cast("bigint").alias("capacity"), (F.max("key") - F.min("key") + 1).alias("span"))
 
 
 @register("SELECT id FROM (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer) WHERE key = 17")
@@ -90,7 +104,7 @@ def static_stats(spark, sf_dir):
 
 @register("SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer")
 def static_roundtrip(spark, sf_dir):
-    path = f"{shared_folder(spark)}/static-{uuid.uuid4().hex}"
+    path = scratch(spark, "static")
     customers(spark, sf_dir).save(path)
     return StaticIndex.open(spark, path).table
 
@@ -170,10 +184,36 @@ def ordered_stats(spark, sf_dir):
     return orders(spark, sf_dir).stats()
 
 
-@register()
-def ordered_segments(spark, sf_dir):
+def _bumpy(spark, sf_dir) -> OrderedIndex:
     keys = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("key")).distinct()
-    return OrderedIndex.build(keys).segments(64)
+    return OrderedIndex.build(keys)
+
+
+@register("SELECT count(DISTINCT l_orderkey * 100000 + l_partkey) AS keys, true AS chained, true AS within FROM lineitem")
+def ordered_segments(spark, sf_dir):
+    """Segments cover all positions, one after the other, and none is more than the bound off."""
+    found = _bumpy(spark, sf_dir).segments(64)
+    upto = "sum(n) over (order by first_pos) - n"
+    checked = found.selectExpr("n", f"first_pos = {upto} as follows", "max_error <= 64 as within")
+    return checked.agg(F.sum("n").alias("keys"), F.every("follows").alias("chained"), F.every("within").alias("within"))
+
+
+@register(
+    "WITH k AS (SELECT DISTINCT l_orderkey * 100000 + l_partkey AS key FROM lineitem), i AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos FROM k) "
+    "SELECT key, pos, true AS near FROM i"
+)
+def ordered_segment_lookup(spark, sf_dir):
+    """Each key's position beside whether its segment predicts it within that segment's error."""
+    index = _bumpy(spark, sf_dir)
+    found = index.located(index.table.select("key", "pos"))
+    return found.select("key", "pos", (F.abs(F.col("predicted") - F.col("pos")) <= F.col("max_error") + 1e-6).alias("near"))
+
+
+@register(_POS + "SELECT key, pos FROM i")
+def ordered_roundtrip(spark, sf_dir):
+    path = scratch(spark, "ordered")
+    orders(spark, sf_dir).save(path)
+    return OrderedIndex.open(spark, path).table.select("key", "pos")
 
 
 _WIDE = "WITH k AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE text IS NOT NULL), i AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS pos FROM k) "
@@ -205,9 +245,18 @@ def wide_bounds(spark, sf_dir):
     return _wide(spark, sf_dir).lower_bounds(probes).select("c_custkey", "bound")
 
 
-def _documents(spark, sf_dir) -> HashedIndex:
+@register(
+    _WIDE + ", p AS (SELECT c_custkey, md5(c_name) AS g FROM customer) "
+    "SELECT p.c_custkey, (SELECT count(*) FROM k WHERE h <= p.g) AS bound FROM p"
+)
+def wide_upper_bounds(spark, sf_dir):
+    probes = table(spark, sf_dir, "customer").select("c_custkey", wide_from_hex(F.md5(F.col("c_name").cast("binary"))).alias("key"))
+    return _wide(spark, sf_dir).upper_bounds(probes).select("c_custkey", "bound")
+
+
+def _documents(spark, sf_dir, **more) -> HashedIndex:
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("key"), F.col("doc_id").alias("pos"))
-    return HashedIndex.build(docs)
+    return HashedIndex.build(docs, **more)
 
 
 @register("SELECT l.doc_id, d.doc_id AS pos FROM labels l LEFT JOIN documents d ON 'doc-' || l.doc_id = 'doc-' || d.doc_id")
@@ -222,14 +271,28 @@ def hashed_lookup_hash(spark, sf_dir):
     return _documents(spark, sf_dir).lookup_hashes(probes).select("doc_id", "pos")
 
 
-@register()
+@register("SELECT l_orderkey, l_linenumber, o_custkey AS pos FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def hashed_lookup_int(spark, sf_dir):
+    index = HashedIndex.build(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey")
+    return index.lookup(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
+
+
+#: The md5 hash of HashedIndex: the first 15 hexadecimal digits as a number.
+_MD5 = "WITH d AS (SELECT 'doc-' || doc_id AS key, doc_id AS pos, CAST('0x' || substr(md5('doc-' || doc_id), 1, 15) AS BIGINT) AS h FROM documents) "
+
+
+@register(_MD5 + f"SELECT h, key, pos FROM d WHERE h BETWEEN 0 AND {(1 << 59) - 1}")
 def hashed_range(spark, sf_dir):
-    return _documents(spark, sf_dir).hash_range(0, (1 << 62) - 1)
+    return _documents(spark, sf_dir, hash="md5").hash_range(0, (1 << 59) - 1)
 
 
-@register()
+@register(
+    _MD5 + ", s AS (SELECT h >> 52 AS segment, count(*) AS n FROM d GROUP BY 1), "
+    "k AS (SELECT n, CASE WHEN n <= 4 THEN 'linear' WHEN n <= 6 THEN 'chd' ELSE 'mph' END AS kind FROM s) "
+    "SELECT kind, count(*) AS segments, CAST(sum(n) AS BIGINT) AS keys FROM k GROUP BY kind"
+)
 def hashed_stats(spark, sf_dir):
-    return _documents(spark, sf_dir).storage_stats()
+    return _documents(spark, sf_dir, hash="md5", linear=4, chd=6).storage_stats()
 
 
 def operations(events: DataFrame) -> DataFrame:
@@ -293,7 +356,7 @@ def dyn_compact(spark, sf_dir):
 @register(_LOG + "SELECT CAST(key AS VARCHAR) AS key, id FROM s WHERE op = 'I'")
 def dyn_stream(spark, sf_dir):
     """The same state from a file stream, run until it has read all."""
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     log = operations(table(spark, sf_dir, "events")).repartitionByRange(4, "seq").sortWithinPartitions("seq")
     log.write.parquet(f"{path}/log")
     store = MutableStream(spark, f"{path}/store")
@@ -302,6 +365,54 @@ def dyn_stream(spark, sf_dir):
     return store.state()
 
 
+@register(_LOG + "SELECT CAST(key AS VARCHAR) AS key, id, true AS merged FROM s WHERE op = 'I'")
+def dyn_stream_compact(spark, sf_dir):
+    """State after four batches, a compaction of the first three and one more batch; the merged tiers are one."""
+    path = scratch(spark, "stream")
+    log = operations(table(spark, sf_dir, "events"))
+    quarter = log.select(F.percentile_approx("seq", [0.25, 0.5, 0.75])).first()[0]
+    store = MutableStream(spark, path)
+    cuts = [(None, quarter[0]), (quarter[0], quarter[1]), (quarter[1], quarter[2]), (quarter[2], None)]
+    for i, (low, high) in enumerate(cuts):
+        part = log.filter((F.lit(low is None) | (F.col("seq") > (low or 0))) & (F.lit(high is None) | (F.col("seq") <= (high or 0))))
+        store.apply(part, i)
+        if i == 2:
+            store.compact(1)
+            store.compact(2)
+    merged = {r["batch"] for r in store.tier_stats().collect()} == {2, 3}
+    return store.state().withColumn("merged", F.lit(merged))
+
+
+#: The log with two thirds of all operations on one key, and with operations that share their seq.
+_HOT_LOG = _LOG.replace("user_id AS key", "CASE WHEN user_id % 3 = 0 THEN user_id ELSE 1 END AS key")
+_TIED_LOG = (
+    _LOG.replace("event_id AS seq", "event_id // 4 AS seq, event_id AS e")
+    .replace("PARTITION BY key ORDER BY seq", "PARTITION BY key ORDER BY seq, op DESC, e")
+    .replace("OVER (ORDER BY seq)", "OVER (ORDER BY seq, key, op DESC, e ROWS UNBOUNDED PRECEDING)")
+)
+
+
+@register(_HOT_LOG + "SELECT seq, key, op, CASE WHEN alloc THEN id WHEN prev = 'I' THEN max(id) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS id FROM g")
+def dyn_hot_key(spark, sf_dir):
+    log = operations(table(spark, sf_dir, "events")).withColumn("key", F.when(F.col("key") % 3 == 0, F.col("key")).otherwise(1))
+    return MutableIndex.fold(log.filter("key is not null"), slice_rows=500).results()
+
+
+@register(_TIED_LOG + "SELECT seq, key, op, CASE WHEN alloc THEN id WHEN prev = 'I' THEN max(id) OVER (PARTITION BY key ORDER BY seq, op DESC, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS id FROM g")
+def dyn_ties(spark, sf_dir):
+    log = operations(table(spark, sf_dir, "events")).withColumn("seq", F.expr("seq div 4"))
+    return MutableIndex.fold(log, slice_rows=500).results()
+
+
+@register(
+    "WITH k AS (SELECT count(DISTINCT user_id) AS n FROM events) "
+    "SELECT n // 16 AS tiers, n % 16 AS buffered, n * 16 AS bytes FROM k"
+)
+def dyn_buffer(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.lit("I").alias("op"))
+    return MutableIndex.fold(log, flush_every=16).buffer_stats()
+
+
 @register("SELECT user_id AS key, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id ORDER BY n DESC, key LIMIT 10")
 def hot_topk(spark, sf_dir):
     return hot.top_k(table(spark, sf_dir, "events"), 10, "user_id")
@@ -327,7 +438,7 @@ def hot_epochs(spark, sf_dir):
 )
 def hot_lookup(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
-    return hot.HotTier(events, 20, "user_id").lookup(events, "user_id")
+    return hot.HotTier.hottest(events, 20, "user_id").lookup(events, "user_id")
 
 
 @register("SELECT count(DISTINCT user_id) AS tracked, count(user_id) AS observed FROM events")
@@ -335,9 +446,26 @@ def hot_total(spark, sf_dir):
     return hot.totals(table(spark, sf_dir, "events"), "user_id")
 
 
-@register()
+@register("SELECT event_type AS key, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
 def hot_approx(spark, sf_dir):
-    return hot.approx_top_k(table(spark, sf_dir, "events"), 10, 1000, "user_id")
+    """The sketch counts exactly while keys are fewer than its counters, as event types are."""
+    return hot.approx_top_k(table(spark, sf_dir, "events"), 10, 1000, "event_type")
+
+
+@register(
+    "WITH e AS (SELECT user_id AS key, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS id FROM events WHERE user_id IS NOT NULL GROUP BY user_id) "
+    "SELECT c_custkey, id AS hot_id, true AS rebuilt FROM customer LEFT JOIN e ON c_custkey = key AND id < 30"
+)
+def hot_rollover(spark, sf_dir):
+    """A first epoch without a tier, whose top keys become the tier of the next."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    rolling = hot.RollingHotTier(None, 500)
+    rolling.lookup(events, "user_id")
+    due = rolling.should_rebuild()
+    best = ranked(rolling.take_top_k(30), [F.desc("n"), F.col("key").asc()], "id")
+    rolling.install(hot.HotTier.of(best))
+    found = rolling.lookup(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return found.withColumn("rebuilt", F.lit(due))
 
 
 def _compressed(spark, sf_dir) -> codec.EliasFano:
@@ -359,6 +487,13 @@ def ef_decode(spark, sf_dir):
     return _compressed(spark, sf_dir).decoded()
 
 
+@register(_POS + "SELECT pos, key FROM i")
+def ef_roundtrip(spark, sf_dir):
+    path = scratch(spark, "elias-fano")
+    codec.compact_keys(orders(spark, sf_dir).table, 1000)[0].save(path)
+    return codec.EliasFano.open(spark, path).decoded()
+
+
 @register("SELECT CAST(greatest(max(o_orderkey) + 1, count(*)) AS DECIMAL(20,0)) AS universe FROM orders")
 def ef_universe(spark, sf_dir):
     return orders(spark, sf_dir).universe()
@@ -375,6 +510,15 @@ def bloom_probe(spark, sf_dir):
     return codec.bloom_semi(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), keys, "o_custkey")
 
 
+@register("SELECT o_orderkey, CASE WHEN o_custkey IS NULL THEN false ELSE true END AS maybe FROM orders")
+def bloom_members(spark, sf_dir):
+    """No key that is in a saved filter is missed."""
+    path = scratch(spark, "bloom")
+    probes = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    codec.Bloom.build(probes, "o_custkey").save(path)
+    return codec.Bloom.open(spark, path).contains(probes, "o_custkey").select("o_orderkey", "maybe")
+
+
 @register("SELECT l_partkey AS key, l_orderkey * 10 + l_linenumber AS payload FROM lineitem ORDER BY key, payload")
 def sort_pairs(spark, sf_dir):
     return codec.sorted_pairs(table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p")), "l_partkey", "p")

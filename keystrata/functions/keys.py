@@ -8,6 +8,7 @@ its numeric order.
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,10 @@ class NullKeyError(IndexError_):
     """A key is null."""
 
 
+class HashCollisionError(IndexError_):
+    """Two keys have one hash."""
+
+
 class EmptyKeysError(IndexError_):
     """No keys where some are asked for (``strict``)."""
 
@@ -78,6 +83,20 @@ def duplicates(keys: DataFrame, key: str = "key") -> DataFrame:
     return keys.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def looked_up(probes: DataFrame, table: DataFrame, key: str, value: str, name: str, by: str = "key") -> DataFrame:
+    """``probes`` with ``name``: of their ``key`` the ``value`` in ``table``, null where ``by`` has no such key.
+
+    All other columns of probes stay; one that is named like the result is replaced,
+    unless it is the key itself, which is a ValueError.
+    """
+    if name == key:
+        raise ValueError(f"{name} is the probe's own column")
+    own = f"__{uuid.uuid4().hex}"
+    found = table.select(F.col(by).alias(own), F.col(value).alias(name))
+    probes = probes.drop(name)
+    return probes.join(found, probes[key] == found[own], "left").drop(own)
+
+
 def validated(keys: DataFrame, key: str = "key", strict: bool = False) -> DataFrame:
     """``keys`` if every key is there once and none is null, else an error.
 

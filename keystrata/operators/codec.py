@@ -1,14 +1,18 @@
-"""Compact sequences and prefilters: Elias-Fano blocks, a Bloom prefilter, pair sorting."""
+"""Compact sequences and prefilters: Elias-Fano blocks, Bloom filters, pair sorting."""
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.rank import stored
+from ..sources import store
+
 BLOCK_KEYS = 65_536
 BLOCKS = "block long, n long, base long, low_bits int, low binary, high binary"
 
@@ -74,31 +78,94 @@ class EliasFano:
         blocks = self.blocks.filter(F.col("block").between(start // self.block_keys, (start + count - 1) // self.block_keys))
         return self.decoded(blocks).filter((F.col("pos") >= start) & (F.col("pos") < start + count))
 
+    def save(self, path: str) -> None:
+        store.save(self.blocks, path, "elias-fano", "block", block_keys=self.block_keys)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> EliasFano:
+        blocks, meta = store.opened(spark, path, "elias-fano")
+        return cls(blocks, meta["block_keys"])
+
     def sizes(self) -> DataFrame:
         """One row: keys and bytes of the compressed parts."""
         return self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("keys"), F.coalesce(F.sum(F.octet_length("low") + F.octet_length("high")), F.lit(0)).cast("bigint").alias("bytes"))
 
 
-#: A filter travels inside the plan, so it is small; for more keys only the join is done.
-MAX_BLOOM_BITS, BLOOM_SPOTS = 1 << 18, 5
-
-
-def bloom_semi(probes: DataFrame, keys: DataFrame, key: str = "key", fpp: float = 0.01) -> DataFrame:
-    """The probes whose key occurs in ``keys``: a Bloom filter drops most others before the exact semi-join."""
-    own = keys.select(F.col(key).alias("__key")).distinct()
-    n = own.count()
-    bits = 1 << max(6, math.ceil(math.log2(-max(1, n) * math.log(fpp) / math.log(2) ** 2)))
-    if n and bits <= MAX_BLOOM_BITS:
-        spot = lambda i, c: F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits))
-        at = own.select(F.explode(F.array(*[spot(i, F.col("__key")) for i in range(BLOOM_SPOTS)])).alias("at"))
-        held = bytearray(bits // 8)
-        for r in at.groupBy(F.expr("at div 8").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at % 8 as int)))").alias("set")).collect():
-            held[r["byte"]] = r["set"]
-        table = F.lit(bytes(held).hex())
-        for i in range(BLOOM_SPOTS):
-            digit = F.conv(F.substr(table, (spot(i, F.col(key)) / 8).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-            probes = probes.filter(F.call_function("getbit", digit, (spot(i, F.col(key)) % 8).cast("int")) == 1)
-    return probes.join(own, probes[key] == own["__key"], "left_semi")
+#: Bits of a filter for each key; a filter of more blocks than this is joined and not broadcast (64 bytes a block).
+BLOOM_BITS, BROADCAST_BLOCKS = 11, 1 << 18
+_LANES = [f"w{i}" for i in range(8)]
+
+
+class Bloom:
+    """Split-block Bloom filter as a table (block, w0, ..., w7): eight words of 64 bits, one bit in each for a key.
+
+    No key that was put in is ever missed.  Built at any size by one aggregate.
+    """
+
+    def __init__(self, table: DataFrame, n_blocks: int, kind: str):
+        self.table, self.n_blocks, self.kind = table, n_blocks, kind
+
+    @staticmethod
+    def _block(key: Column, n_blocks: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(1), key), F.lit(n_blocks))
+
+    @staticmethod
+    def _bits(key: Column) -> list[Column]:
+        bits = F.xxhash64(F.lit(2), key)
+        return [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(bits, 6 * i).bitwiseAND(63).cast("int")) for i in range(8)]
+
+    @classmethod
+    def build(cls, keys: DataFrame, key: str = "key", bits_per_key: int = BLOOM_BITS) -> Bloom:
+        """The filter of a table's keys; null keys are left out."""
+        own = keys.select(F.col(f"`{key}`").alias("key")).filter("key is not null")
+        n = own.select(F.approx_count_distinct("key")).first()[0]
+        n_blocks = max(1, math.ceil(n * bits_per_key / 512))
+        words = [F.bit_or(w).alias(name) for w, name in zip(cls._bits(F.col("key")), _LANES)]
+        return cls(stored(own.groupBy(cls._block(F.col("key"), n_blocks).alias("block")).agg(*words), "bloom"), n_blocks, dict(own.dtypes)["key"])
+
+    def contains(self, probes: DataFrame, key: str = "key", name: str = "maybe") -> DataFrame:
+        """``probes`` with whether each key may have been put in; false for null, a column named like the result is replaced."""
+        if name == key:
+            raise ValueError(f"{name} is the probe's own column")
+        held = F.lit(True)
+        own = F.col(f"`{key}`").cast(self.kind)
+        for word, bit in zip(_LANES, self._bits(own)):
+            held = held & (F.col(f"__{word}").bitwiseAND(bit) != 0)
+        table = self.table.select(F.col("block").alias("__block"), *[F.col(w).alias(f"__{w}") for w in _LANES])
+        table = F.broadcast(table) if self.n_blocks <= BROADCAST_BLOCKS else table
+        probes = probes.drop(name).withColumn("__at", F.when(own.isNotNull(), self._block(own, self.n_blocks)))
+        out = probes.join(table, F.col("__at") == F.col("__block"), "left").withColumn(name, F.coalesce(held, F.lit(False)))
+        return out.drop("__at", "__block", *[f"__{w}" for w in _LANES])
+
+    def export(self) -> DataFrame:
+        """(block, words) for use elsewhere; blocks without a key are left out."""
+        return self.table.select("block", F.array(*_LANES).alias("words"))
+
+    def memory_usage(self) -> int:
+        """Bytes of all words."""
+        return 64 * self.n_blocks
+
+    def save(self, path: str) -> None:
+        store.save(self.table, path, "bloom", "block", n_blocks=self.n_blocks, key=self.kind)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Bloom:
+        table, meta = store.opened(spark, path, "bloom")
+        return cls(table, meta["n_blocks"], meta["key"])
+
+
+def bloom_semi(probes: DataFrame, keys: DataFrame, key: str = "key", bits_per_key: int = BLOOM_BITS) -> DataFrame:
+    """The probes whose key occurs in ``keys``: a Bloom filter drops most others before the exact semi-join's shuffle."""
+    found = f"__{uuid.uuid4().hex}"
+    near = Bloom.build(keys, key, bits_per_key).contains(probes, key, found).filter(found).drop(found)
+    own = keys.select(F.col(f"`{key}`").alias("__key"))
+    return near.join(own, near[key] == own["__key"], "left_semi")
+
+
+def compact_keys(ranked_keys: DataFrame, block_keys: int = BLOCK_KEYS) -> tuple[EliasFano, DataFrame]:
+    """(key, pos) rows in compressed blocks, and one row of what that saves: keys, bytes, plain_bytes, saved."""
+    own = EliasFano(stored(EliasFano.encode(ranked_keys, block_keys).blocks, "elias-fano"), block_keys)
+    return own, own.sizes().select("keys", "bytes", (8 * F.col("keys")).alias("plain_bytes"), (8 * F.col("keys") - F.col("bytes")).alias("saved"))
 
 
 def sorted_pairs(pairs: DataFrame, key: str = "key", payload: str = "payload") -> DataFrame:

@@ -8,14 +8,25 @@ that is not there, or a null probe, gets a null id.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import as_bytes, validated
+from ..functions.keys import as_bytes, looked_up, validated
 from ..plans.rank import ranked, stored
 from ..sources import store
 
 
+@dataclasses.dataclass(frozen=True)
+class IndexConfig:
+    """How an index is built: ``strict`` refuses an empty table; ``lean`` is accepted and changes nothing, as lookups compare keys."""
+
+    key: str = "key"
+    strict: bool = False
+    lean: bool = False
+
+
 class StaticIndex:
     """Exact dictionary of unique, non-null keys of one type (BIGINT, STRING or BINARY)."""
 
@@ -28,6 +39,11 @@ class StaticIndex:
         keys = validated(keys.select(F.col(f"`{key}`").alias("key")), "key", strict)
         return cls(stored(ranked(keys, [F.col("key")], "id"), "static-index"))
 
+    @classmethod
+    def configured(cls, keys: DataFrame, config: IndexConfig = IndexConfig()) -> StaticIndex:
+        """The index that a configuration describes."""
+        return cls.build(keys, config.key, config.strict)
+
     @classmethod
     def empty(cls, spark: SparkSession, kind: str = "bigint") -> StaticIndex:
         """An index that misses every key."""
@@ -35,8 +51,7 @@ class StaticIndex:
 
     def lookup(self, probes: DataFrame, key: str = "key", name: str = "id") -> DataFrame:
         """``probes`` with each key's id (null: not there)."""
-        own = self.table.select(F.col("key").alias("__key"), F.col("id").alias(name))
-        return probes.join(own, probes[key] == own["__key"], "left").drop("__key")
+        return looked_up(probes, self.table, key, "id", name)
 
     lookup_batch = get_batch = lookup
 
@@ -46,7 +61,7 @@ class StaticIndex:
 
     def contains(self, probes: DataFrame, key: str = "key", name: str = "found") -> DataFrame:
         """``probes`` with whether each key is there; false for null."""
-        return self.lookup(probes, key, "__id").withColumn(name, F.col("__id").isNotNull()).drop("__id")
+        return self.lookup(probes, key, name).withColumn(name, F.col(name).isNotNull())
 
     has_batch = exists_batch = contains_batch = contains
 

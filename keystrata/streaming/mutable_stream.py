@@ -1,19 +1,25 @@
 """The mutable key store fed by a stream of operations.
 
-Each micro-batch appends one tier of the keys it changed (key, op, id) to a
-folder, named by its batch id, so a batch that is run again replaces its own tier
-and nothing else.  Only the keys of the batch are looked up in earlier tiers.
-``compact`` merges old tiers.  One writer at a time.
+Each micro-batch appends one tier of the keys it changed (key, op, id), sorted by key,
+to a folder named by its batch id, and one small row beside it with the next id to
+give, so a batch that is run again replaces its own files and nothing else.  Only
+the keys of the batch are looked up in earlier tiers, between its least and its
+greatest key, which row-group statistics prune.
+
+``compact`` merges old tiers into a folder of its own and then writes one row that
+names it; readers follow the greatest name, so they see the old tiers or the merged
+one, whole, whenever the writer stops.  One writer at a time.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.rank import ranked
+from ..operators.mutable import in_order, with_before
+from ..plans.rank import ranked, stored
 
 TIER = "key string, op string, id bigint, batch bigint"
 
@@ -24,12 +30,22 @@ class MutableStream:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def tiers(self) -> DataFrame:
-        """(key, op, id, batch) of all tiers."""
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(TIER).option("basePath", f"{self.path}/tiers").parquet(f"{self.path}/tiers")
+            return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
         except AnalysisException:
-            return self.spark.createDataFrame([], TIER)
+            return self.spark.createDataFrame([], schema)
+
+    def compacted_upto(self) -> int:
+        """The last batch that the merged tier holds; -1 before the first compaction."""
+        found = self._read("compactions", "upto bigint").agg(F.max("upto")).first()[0]
+        return -1 if found is None else found
+
+    def tiers(self) -> DataFrame:
+        """(key, op, id, batch) of the merged tier and all later ones."""
+        upto = self.compacted_upto()
+        later = self._read("tiers", TIER).filter(F.col("batch") > upto)
+        return later if upto < 0 else self._read("merged", TIER).filter(F.col("batch") == upto).unionByName(later)
 
     def _latest(self, tiers: DataFrame) -> DataFrame:
         return tiers.groupBy("key").agg(F.max_by("op", "batch").alias("op"), F.max("id").alias("id"))
@@ -38,39 +54,49 @@ class MutableStream:
         """(key, id) of the live keys."""
         return self._latest(self.tiers()).filter("op = 'I'").select("key", "id")
 
+    def tier_stats(self) -> DataFrame:
+        """(batch, entries) of the tiers that are read."""
+        return self.tiers().groupBy("batch").agg(F.count("*").alias("entries"))
+
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Folds one micro-batch; the same batch id gives the same tier again."""
-        log = batch.select("seq", F.col("key").cast("string").alias("key"), "op").filter("key is not null and op in ('I', 'D')").persist()
-        if log.isEmpty():
-            log.unpersist()
+        log = in_order(batch.withColumn("key", F.col("key").cast("string")))
+        ends = log.agg(F.min("key").alias("low"), F.max("key").alias("high")).first()
+        if ends["low"] is None:
             return
-        earlier = self.tiers().filter(F.col("batch") < batch_id)
-        next_id = (earlier.agg(F.max("id")).first()[0] if not earlier.isEmpty() else None)
-        next_id = 0 if next_id is None else next_id + 1
+        next_id = self._read("ids", "next_id bigint, batch bigint").filter(F.col("batch") < batch_id).agg(F.max("next_id")).first()[0] or 0
+        earlier = self.tiers().filter((F.col("batch") < batch_id) & F.col("key").between(ends["low"], ends["high"]))
         known = self._latest(earlier.join(log.select("key").distinct(), "key", "left_semi"))
-        known = known.select("key", F.col("op").alias("known_op"), F.col("id").alias("known_id"))
-        by_key = Window.partitionBy("key").orderBy("seq")
-        rows = log.join(known, "key", "left").withColumn("before", F.coalesce(F.lag("op").over(by_key), "known_op"))
-        rows = rows.withColumn("alloc", (F.col("op") == "I") & (F.col("before").isNull() | (F.col("before") == "D")))
-        given = ranked(rows.filter("alloc").select("key", "seq"), [F.col("seq")], "id").withColumn("id", F.col("id") + next_id)
-        last = rows.join(given, ["key", "seq"], "left").groupBy("key").agg(F.max_by("op", "seq").alias("op"), F.coalesce(F.max("id"), F.max("known_id")).alias("id"))
-        last.write.mode("overwrite").parquet(f"{self.path}/tiers/batch={batch_id}")
-        log.unpersist()
+        known = stored(known.select("key", F.col("op").alias("first_op"), F.col("id").alias("known_id")), "stream-known")
+        rows = stored(with_before(log.join(known, "key", "left")), "stream-rows")
+        given = ranked(rows.filter("alloc").select("key", "at"), [F.col("at")], "id")
+        last = rows.groupBy("key").agg(F.max_by("op", "at").alias("op"), F.max("known_id").alias("known_id"))
+        last = last.join(given.groupBy("key").agg((F.max("id") + next_id).alias("id")), "key", "left")
+        last = last.select("key", "op", F.coalesce("id", "known_id").alias("id"))
+        last.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.path}/tiers/batch={batch_id}")
+        upto = self.spark.range(1).select(F.lit(next_id + rows.filter("alloc").count()).cast("bigint").alias("next_id"))
+        upto.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ids/batch={batch_id}")
 
     def compact(self, upto: int) -> None:
-        """Merges all tiers up to batch ``upto`` into one, which takes that batch's name; ids stay.
+        """Merges all tiers up to batch ``upto`` into one, which takes that batch's number; ids stay.
 
-        Deleted keys keep their last id until then, so that it is never given again.
+        Deleted keys keep their last id, so that it is never given again.  Nothing
+        that is read is overwritten; the merged tiers' own folders go last.
         """
-        old = self.tiers().filter(F.col("batch") <= upto)
-        merged = self._latest(old)
-        merged.write.mode("overwrite").parquet(f"{self.path}/merged")
-        batches = [r["batch"] for r in old.select("batch").distinct().collect()]
-        self.spark.read.parquet(f"{self.path}/merged").write.mode("overwrite").parquet(f"{self.path}/tiers/batch={upto}")
-        empty = self.spark.createDataFrame([], "key string, op string, id bigint")
-        for b in batches:
-            if b != upto:
-                empty.write.mode("overwrite").parquet(f"{self.path}/tiers/batch={b}")
+        done = self.compacted_upto()
+        if upto <= done:
+            return
+        merged = self._latest(self.tiers().filter(F.col("batch") <= upto))
+        merged.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.path}/merged/batch={upto}")
+        self.spark.range(1).select(F.lit(upto).cast("bigint").alias("upto")).coalesce(1).write.mode("append").parquet(f"{self.path}/compactions")
+        self._forget([f"tiers/batch={b}" for b in range(done + 1, upto + 1)] + [f"merged/batch={done}"])
+
+    def _forget(self, names: list[str]) -> None:
+        """Deletes folders that no reader follows any more, where they exist."""
+        jvm = self.spark._jvm
+        for name in names:
+            place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def start(self, log: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Starts the stream; ``trigger`` as for ``DataStreamWriter.trigger`` (default: all that is there, then stop)."""

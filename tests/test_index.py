@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.functions.keys import CorruptDataError, DuplicateKeyError, EmptyKeysError, NullKeyError, unsigned, wide
+from keystrata.functions.keys import CorruptDataError, DuplicateKeyError, HashCollisionError, EmptyKeysError, NullKeyError, unsigned, wide
 from keystrata.operators import codec
 from keystrata.operators.hashed import HashedIndex
-from keystrata.operators.ordered import OrderedIndex, tuned_epsilon
+from keystrata.operators.ordered import SEGMENT_BYTES, OrderedIndex, tuned_epsilon
 from keystrata.operators.static import StaticIndex
 
 
@@ -149,7 +149,7 @@ def test_segments_cover_all_within_their_error(spark, epsilon):
     for s in segments:
         assert s["first_pos"] == at and s["max_error"] <= epsilon
         own = np.array(keys[at : at + s["n"]], dtype=float)
-        off = np.abs(s["slope"] * (own - s["min_key"]) + s["intercept"] - np.arange(s["n"]))
+        off = np.abs(s["slope"] * (own - s["key_from"]) + s["intercept"] - np.arange(s["n"]))
         assert off.max() <= s["max_error"]
         at += s["n"]
 
@@ -157,8 +157,73 @@ def test_segments_cover_all_within_their_error(spark, epsilon):
 def test_linear_keys_are_one_segment_a_partition(spark):
     stats = OrderedIndex.build(spaced(spark, 4000)).segment_stats(16).first()
     assert stats["keys"] == 4000 and stats["segments"] <= 4 and stats["max_error"] <= 1
-    assert tuned_epsilon(OrderedIndex.build(spaced(spark, 10))) == 64
-    assert tuned_epsilon(OrderedIndex.build(spaced(spark, 2000))) == 16
+
+
+def test_segments_run_over_arrow_batches(spark):
+    """A line of 100,000 keys is one segment for each range partition, not one for each batch of 10,000 rows."""
+    index = OrderedIndex.build(spaced(spark, 100_000))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert index.segments(16).count() <= parts
+
+
+def test_segments_of_far_keys(spark):
+    """Keys beyond 2 ** 53 keep their last digits, and spans beyond 2 ** 63 do not wrap."""
+    keys = [-(1 << 63), -(1 << 63) + 1, (1 << 53) + 1, (1 << 63) - 2, (1 << 63) - 1]
+    segments = sorted(OrderedIndex.build(longs(spark, keys)).segments(1).collect())
+    assert {k for s in segments for k in (s["key_from"], s["key_to"])} <= set(keys) and sum(s["n"] for s in segments) == 5
+    assert all(s["max_error"] <= 1 and s["slope"] >= 0 for s in segments)
+
+
+def test_outer_keys_may_have_a_wider_bound(spark):
+    draw = random.Random(4)
+    index = OrderedIndex.build(longs(spark, sorted(draw.sample(range(10**9), 2000))))
+    found = index.segments(4, outer=4).collect()
+    assert all(s["max_error"] <= (16 if s["first_pos"] < 200 or s["first_pos"] >= 1800 else 4) for s in found)
+    assert max(s["max_error"] for s in found) > 4
+
+
+def test_segment_of_a_key(spark):
+    draw = random.Random(8)
+    keys = sorted(draw.sample(range(10**6), 500))
+    index = OrderedIndex.build(longs(spark, keys))
+    probes = spark.createDataFrame([(k, "x") for k in (keys[0] - 1, keys[0], keys[250], keys[250] + 1, 10**7, None)], "key bigint, predicted string")
+    found = {r["key"]: r for r in index.located(probes, epsilon=4).collect()}
+    segments = sorted(index.segments(4).collect())
+    assert found[None]["segment_pos"] is None and found[keys[0] - 1]["segment_pos"] is None and len(found) == 6
+    assert abs(found[keys[250]]["predicted"] - 250) <= found[keys[250]]["max_error"]
+    assert found[10**7]["segment_pos"] == segments[-1]["first_pos"]
+    best = index.densest_segments(3, 4).collect()
+    density = lambda s: s["n"] / max(1, s["key_to"] - s["key_from"])
+    assert [r["first_pos"] for r in best] == [s["first_pos"] for s in sorted(segments, key=lambda s: (-density(s), s["first_pos"]))[:3]]
+
+
+def test_epsilon_grows_until_the_model_fits(spark):
+    draw = random.Random(9)
+    index = OrderedIndex.build(longs(spark, draw.sample(range(10**9), 3000)))
+    epsilon = tuned_epsilon(index, 2000)
+    assert index.segments(epsilon).count() * SEGMENT_BYTES <= 2000 < index.segments(epsilon // 2).count() * SEGMENT_BYTES
+    assert tuned_epsilon(index) == 8
+
+
+def test_one_shuffle_for_ranks(spark):
+    """Ranks deal their rows once, and bounds with many equal probes are those of single ones."""
+    index = OrderedIndex.build(spaced(spark, 50))
+    probes = spark.createDataFrame([(500, i, 9) for i in range(300)] + [(None, 0, 9), (-1, 1, 9), (10**9, 2, 9)], "key bigint, n bigint, bound int")
+    found = index.lower_bounds(probes)
+    assert found.columns == ["key", "n", "bound"] and found.count() == 303
+    assert {(r["key"], r["bound"]) for r in found.collect()} == {(500, index.lower_bound(500)), (None, None), (-1, 0), (10**9, 50)}
+
+
+def test_a_column_named_like_the_result_is_replaced(spark):
+    rows = spark.createDataFrame([(1, "x"), (5, "y"), (None, "z")], "key bigint, id string")
+    keys = longs(spark, [1, 2])
+    found = StaticIndex.build(keys).lookup(rows)
+    assert found.columns == ["key", "id"] and {r["key"]: r["id"] for r in found.collect()} == {1: 0, 5: None, None: None}
+    assert StaticIndex.build(keys).contains(rows, name="id").columns == ["key", "id"]
+    assert OrderedIndex.build(keys).index(rows, name="id").columns == ["key", "id"]
+    assert HashedIndex.build(keys.withColumn("pos", F.lit(1))).lookup(rows, name="id").columns == ["key", "id"]
+    with pytest.raises(ValueError):
+        StaticIndex.build(keys).lookup(rows, name="key")
 
 
 def test_ordered_saved_and_opened(spark, tmp_path):
@@ -213,6 +278,14 @@ def test_elias_fano_over_blocks(spark):
     assert packed.sizes().first()["bytes"] < 8 * 190
 
 
+def test_hashes_must_differ(spark, monkeypatch):
+    from keystrata.operators import hashed
+
+    monkeypatch.setattr(hashed, "hashed", lambda key, *_: F.lit(7).cast("bigint") + 0 * F.length(key.cast("string")))
+    with pytest.raises(HashCollisionError):
+        HashedIndex.build(spark.range(2).select(F.col("id").alias("key"), F.col("id").alias("pos")))
+
+
 def test_bloom_semi_is_exact(spark):
     keys, probes = longs(spark, range(0, 3000, 3)), longs(spark, [*range(3000), None, 3])
     got = sorted(r["key"] for r in codec.bloom_semi(probes, keys).collect())
@@ -220,6 +293,30 @@ def test_bloom_semi_is_exact(spark):
     assert codec.bloom_semi(probes, longs(spark, [])).count() == 0
 
 
+def test_bloom_of_many_keys(spark, tmp_path):
+    """Built at any size; no key is missed and few others pass, whatever integer type probes have."""
+    keys = spark.range(100_000).select((F.col("id") * 7919).alias("key"))
+    own = codec.Bloom.build(keys)
+    own.save(f"file://{tmp_path}/b")
+    own = codec.Bloom.open(spark, f"file://{tmp_path}/b")
+    assert own.contains(keys).filter("not maybe").count() == 0
+    foreign = spark.range(100_000).select((F.col("id") * 7919 + 1).alias("key"))
+    assert own.contains(foreign).filter("maybe").count() < 2000
+    small = spark.createDataFrame([(7919, "x"), (None, "y")], "key int, maybe string")
+    assert {r["key"]: r["maybe"] for r in own.contains(small).collect()} == {7919: True, None: False}
+    assert own.memory_usage() == 64 * own.n_blocks and own.export().filter("size(words) <> 8").count() == 0
+
+
+def test_compact_keys_saved_and_opened(spark, tmp_path):
+    index = OrderedIndex.build(spark.range(0, 50_000, 7).select(F.col("id").alias("key")))
+    packed, report = codec.compact_keys(index.table, 1000)
+    report = report.first()
+    assert report["keys"] == len(index) and report["saved"] == 8 * len(index) - report["bytes"] > 0
+    packed.save(f"file://{tmp_path}/e")
+    again = codec.EliasFano.open(spark, f"file://{tmp_path}/e")
+    assert again.slice(1995, 10).orderBy("pos").collect() == index.slice(1995, 10).collect()
+
+
 def test_sorted_pairs(spark):
     pairs = [(i * 40503 % 101, i) for i in range(500)]
     got = [tuple(r) for r in codec.sorted_pairs(spark.createDataFrame(pairs, "key bigint, payload int")).collect()]

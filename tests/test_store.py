@@ -69,6 +69,58 @@ def test_random_logs(spark, seed):
     check(spark, [(draw.choice("IID"), f"k{draw.randrange(40)}") for _ in range(600)])
 
 
+@pytest.mark.parametrize("slice_rows", [1, 7, 10**6])
+def test_one_key_holds_most_of_the_log(spark, slice_rows):
+    draw = random.Random(9)
+    ops = [(draw.choice("IID"), draw.choice(["hot"] * 9 + ["a", "b"])) for _ in range(400)]
+    want, live = folded(ops)
+    store = MutableIndex.fold(log(spark, ops), slice_rows=slice_rows)
+    assert {r["seq"]: r["id"] for r in store.results().collect()} == dict(enumerate(want))
+    assert {r["key"]: r["id"] for r in store.state().collect()} == live
+
+
+def test_operations_of_one_seq(spark):
+    """Neither lost nor multiplied: by key, inserts first, equal ones as repeats."""
+    rows = [(0, "b", "I"), (0, "a", "I"), (0, "a", "I"), (1, "a", "D"), (1, "a", "I"), (2, "a", "I")]
+    store = MutableIndex.fold(spark.createDataFrame(rows, "seq bigint, key string, op string"))
+    got = sorted(tuple(r) for r in store.results().collect())
+    assert got == [(0, "a", "I", 0), (0, "a", "I", 0), (0, "b", "I", 1), (1, "a", "D", 0), (1, "a", "I", 0), (2, "a", "I", 2)]
+    assert tuple(store.buffer_stats().first()) == (0, 3, 3 * 9)
+
+
+def test_rolling_hot_tier(spark):
+    keys = lambda x: spark.createDataFrame([(k,) for k in x], "key bigint")
+    rolling = hot.RollingHotTier(None, 6)
+    assert rolling.top_k(2) is None and rolling.current_memory() == 0
+    assert rolling.lookup(keys([1, 1, 2, None])).filter("hot_id is not null").count() == 0 and not rolling.should_rebuild()
+    rolling.lookup(keys([2, 3, 2]))
+    assert rolling.should_rebuild() and [tuple(r) for r in rolling.top_k(2).collect()] == [(2, 3), (1, 2)]
+    best = rolling.take_top_k(2)
+    assert not rolling.should_rebuild() and rolling.observed == 0
+    rolling.install(hot.HotTier.of(best.withColumn("id", F.col("n") * 10)))
+    assert {r["key"]: r["hot_id"] for r in rolling.lookup(keys([1, 2, 3])).collect()} == {1: 20, 2: 30, 3: None}
+    assert rolling.current_memory() == 32 and rolling.observed == 3
+    with pytest.raises(ValueError):
+        hot.RollingHotTier(None, 0)
+
+
+def test_compaction_is_followed_when_it_is_done(spark, tmp_path):
+    """A merged tier that no pointer names is not read; afterwards its tiers are gone and ids go on."""
+    store = MutableStream(spark, f"file://{tmp_path}/s")
+    ops = [("I", "a"), ("D", "a"), ("I", "b")]
+    for i in range(3):
+        store.apply(log(spark, ops).filter(F.col("seq") == i), i)
+    spark.createDataFrame([("zz", "I", 99)], "key string, op string, id bigint").write.parquet(f"file://{tmp_path}/s/merged/batch=1")
+    assert {r["key"]: r["id"] for r in store.state().collect()} == {"b": 1}
+    store.compact(1)
+    assert store.compacted_upto() == 1 and sorted(r["batch"] for r in store.tier_stats().collect()) == [1, 2]
+    store.compact(2)
+    store.compact(2)
+    assert [tuple(r) for r in store.tier_stats().collect()] == [(2, 2)]
+    store.apply(spark.createDataFrame([(9, "a", "I")], "seq bigint, key string, op string"), 3)
+    assert {r["key"]: r["id"] for r in store.state().collect()} == {"a": 2, "b": 1}
+
+
 def test_stream_equals_batch_and_retries_are_harmless(spark, tmp_path):
     draw = random.Random(5)
     ops = [(draw.choice("IID"), f"k{draw.randrange(25)}") for _ in range(300)]
@@ -120,7 +172,7 @@ def test_epochs_and_hot_lookup(spark):
     df = spark.createDataFrame(list(enumerate([10, 20, 10, 7, 7, 7])), "seq bigint, key bigint")
     got = sorted((r["epoch"], r["place"], r["key"], r["n"]) for r in hot.epochs(df, 3, 2).collect())
     assert got == [(0, 1, 10, 2), (0, 2, 20, 1), (1, 1, 7, 3)]
-    found = {r["key"]: r["hot_id"] for r in hot.HotTier(df, 2).lookup(df).collect()}
+    found = {r["key"]: r["hot_id"] for r in hot.HotTier.hottest(df, 2).lookup(df).collect()}
     assert found == {7: 0, 10: 1, 20: None}
 
 
