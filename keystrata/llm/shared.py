@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.rank import scratch, shared_folder, stored  # noqa: F401  operators take them from here
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_FOLDER = "file:///tmp/checkpoints/keystrata"
+#: What a worker keeps between batches of a task and drops at its end.
+_kept: list[Callable[[], None]] = []
+
+
+def kept_for_a_task(clear: Callable[[], None]) -> None:
+    """Registers what empties a module's own memory at the end of each task of ``freeing``."""
+    _kept.append(clear)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_FOLDER
+def release() -> None:
+    """Empties what modules keep and gives unused memory back to the system."""
+    for clear in _kept:
+        clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+def freeing(run):
+    """A function for mapInArrow whose worker gives its memory back when a task ends.
 
-    Lineage ends there: a lost executor costs no earlier stage again, and
-    several readers do not repeat the work.  The folder name is unique, so
-    reruns never meet.
+    Workers are used again by later tasks of other stages, so what one task
+    gathered must not add to the next one's.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +59,15 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+#: Rows of a table that is broadcast because it is counted to be small.
+SMALL_ROWS = 20_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, which should be stored, to be broadcast if it has at most ``rows`` rows; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def pieces_of(batch, rows: int = 256):
     """Slices of an Arrow batch, so that long texts are not all Python objects at once."""
     for at in range(0, batch.num_rows, rows):

@@ -61,14 +61,15 @@ def test_near_copies(spark, width, percent):
     assert joined(spark, rows, width, percent) == brute(rows, width, percent)
 
 
-def test_cells_of_a_large_group(spark, monkeypatch):
-    """Regions far above the size of the direct join, with many pairs near the threshold."""
+@pytest.mark.parametrize("wide,block", [(10**6, 10**6), (10**6, 4), (8, 4)])
+def test_cells_of_a_large_group(spark, monkeypatch, wide, block):
+    """Regions joined as a whole, as pairs of blocks, and split again: many pairs near the threshold."""
     monkeypatch.setattr(jaccard, "SMALL", 3)
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
-    for rounds in (1, 4):
-        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
-        rows = copies(7, 2, 45, words=50, edits=5)
-        assert joined(spark, rows, 3, 80) == brute(rows, 3, 80)
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = copies(7, 2, 45, words=50, edits=5)
+    assert joined(spark, rows, 3, 80) == brute(rows, 3, 80)
 
 
 def test_every_link(spark, monkeypatch):
