@@ -1,10 +1,12 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Native: the scan is one expression over each row, without shuffle or Python.  A
-pattern finds runs that mix letters and digits; each run, what stands before and
-after it, and the document's path become features (length, class transitions,
-distinct characters, dictionary coverage, path, neighbouring words); the trees of
-the forest are CASE expressions over them.
+pattern finds runs that mix letters and digits, whatever is assigned to a name that
+speaks of secrets, web tokens and private-key blocks; each candidate, what stands before and
+after it, and its path (one named shortly before it, else the document's) become
+features (length, class transitions, distinct characters, dictionary coverage, path,
+neighbouring words); the trees of the forest are CASE expressions over them.
+Secrets are replaced where they stand, so the same string judged harmless elsewhere stays.
 
 The forest is trained on labelled findings.  ``training`` reads at most
 ``MAX_FINDINGS`` of them, in hash order, computes the same expressions and grows
@@ -18,8 +20,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A private key with its first and last line.
+_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+#: A JSON web token: header, payload and perhaps a signature.
+_WEB = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?"
+#: What a value of at least six characters is assigned to: the candidate begins behind it.
+_ASSIGNED = r"(?<![\w-])[\w-]{0,40}?(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[\w-]{0,24}[\"']?[ \t]{0,3}(?::=|=>|[=:])[ \t]{0,3}[\"'`]?"
+_VALUE = r"[^\s\"'`,;&<>(){}\[\]]{6,}"
 #: A run of at least 16 characters of keys with a digit and a letter in it; = belongs to it only as padding at its end, so that a key may follow one.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+CANDIDATE = f"{_BLOCK}|{_WEB}|{_ASSIGNED}{_VALUE}|{_RUN}"
 #: Characters of context looked at on each side.
 CONTEXT = 48
 MAX_FINDINGS = 4000
@@ -37,9 +47,10 @@ DICTIONARY = (
     "status step stop store stream string style system table target task team temp template test text theme thread time title token tool topic total track type update upload user util "
     "value version video view web widget window worker world write year zone"
 ).split()
-FEATURES = ("length", "transitions", "distinct", "digits", "upper", "hex", "coverage", "longest_word", "symbols", "odd_path", "assigned", "quoted", "named", "in_link", "harmless", "shaped")
+FEATURES = ("length", "transitions", "distinct", "digits", "upper", "hex", "coverage", "longest_word", "symbols", "odd_path", "assigned", "quoted", "named", "in_link", "harmless", "shaped", "web", "block")
 _NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)[^=:]{0,16}[=:]{1,2}>?\s*[\"'`]?$"
 _HARMLESS = r"(?i)(commit|sha-?\d+|md5|checksum|digest|integrity|uuid|guid|etag|revision|build|hash|fingerprint|image|version|ref)\W{0,12}\w{0,8}\W{0,4}$"
+_FILE = r"([\w.-]*/[\w./-]*\.[A-Za-z]{1,5})\b"
 _PATH = r"(?i)(^|[/_.-])(tests?|examples?|samples?|docs?|fixtures?|mocks?|vendor|locale)([/_.-]|$)"
 _UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -68,6 +79,8 @@ def _features(found: Column) -> Column:
         "named": flag(F.rlike(before, F.lit(_NAMES))),
         "in_link": flag(F.rlike(before, F.lit("(://|www\\.)\\S*$")) | F.rlike(after, F.lit("^\\.[a-z]{2,4}\\b"))),
         "harmless": flag(F.rlike(before, F.lit(_HARMLESS))),
+        "web": flag(F.rlike(c, F.lit("^eyJ[A-Za-z0-9_-]{8,}\\."))),
+        "block": flag(c.startswith("-----BEGIN ")),
         "shaped": flag(F.rlike(c, F.lit(_UUID)) | F.rlike(c, F.lit(r"^(.)\1{7}|0123456789|(?i)abcdef0?1234|x{6}"))),
     }
     return F.struct(found["candidate"].alias("candidate"), *[values[x].cast("double").alias(x) for x in FEATURES])
@@ -142,22 +155,36 @@ def generated_findings(spark: SparkSession, n: int = 3000, seed: int = SEED) ->
     base = F.regexp_replace(F.base64(F.unhex(F.substring("h", 33, 96))), "=", "")
     words = [F.lit(w) for w in DICTIONARY]
     word = lambda i: F.element_at(F.array(*words), (F.conv(F.substring("h", i, 4), 16, 10).cast("long") % len(words) + 1).cast("int"))
+    number = F.concat(F.conv(F.substring("h", 70, 4), 16, 10))
     secret = F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % 2 == 0
     name = pick(3, "token", "secret", "password", "api_key", "apiKey", "access_key", "auth_token", "client_secret", "PRIVATE_KEY", "credential")
     good = F.struct(
-        pick(9, hexa(40), hexa(32), hexa(64), F.substring(base, 1, 40), F.substring(base, 1, 24), F.substring(base, 1, 32), F.upper(F.concat(F.lit("AKIA"), F.substring(F.regexp_replace(base, "[+/]", "Q"), 1, 16)))).alias("candidate"),
+        pick(
+            9, hexa(40), hexa(32), hexa(64), F.substring(base, 1, 40), F.substring(base, 1, 24), F.substring(base, 1, 32), F.upper(F.concat(F.lit("AKIA"), F.substring(F.regexp_replace(base, "[+/]", "Q"), 1, 16))),
+            F.concat(word(13), F.lit("."), F.substring(base, 1, 3), F.substring("h", 77, 3)), F.concat(F.initcap(word(13)), number, F.lit("!")), F.concat(word(13), number, word(17)), F.regexp_replace(F.substring(base, 1, 30), "[0-9]", "k"), F.concat(F.lit("sk_live_"), F.substring(base, 1, 24)),
+        ).alias("candidate"),
         F.concat(pick(15, "", "and ", "export ", "let my ", "the value of "), name, pick(21, " = \"", "=", ": '", ": ", "=\"", " := \"")).alias("before"),
         pick(27, "\"", "'", " and", "\n", "", "\" # set").alias("after"), pick(31, "src3", "app/config.py", "src/main.js", "deploy/env", "docs/setup", "").alias("path"),
     )
     uuid = F.concat_ws("-", F.substring("h", 41, 8), F.substring("h", 49, 4), F.substring("h", 53, 4), F.substring("h", 57, 4), F.substring("h", 61, 12))
-    number = F.concat(F.conv(F.substring("h", 70, 4), 16, 10))
+    # keys that need no name: web tokens and private keys, wherever they stand
+    bare = F.struct(
+        pick(9, F.concat(F.lit("eyJ"), F.substring(F.regexp_replace(base, "[+/]", "_"), 1, 30), F.lit(".eyJ"), F.substring(F.regexp_replace(base, "[+/]", "-"), 5, 40), F.lit("."), hexa(43)), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base, F.lit("\n-----END RSA PRIVATE KEY-----"))).alias("candidate"),
+        pick(15, "", "Authorization: Bearer ", "\n", "cookie ", "the key ").alias("before"), pick(27, "", " and", "\n", "\"").alias("after"), pick(31, "src3", "src/main.js", "deploy/env", "").alias("path"),
+    )
+    # values of names like secrets that are none: words, placeholders, code, paths
+    empty = F.struct(
+        pick(9, word(13), F.concat(word(13), F.lit("-"), word(17)), F.concat(F.lit("$"), F.upper(word(13))), F.concat(word(13), F.lit("."), word(17)), F.lit("xxxxxxxx"), F.lit("********"), F.lit("changeme"), F.lit("required"), F.concat(F.lit("/"), word(13), F.lit("/"), word(17)), F.concat(word(13), F.lit("_"), word(17))).alias("candidate"),
+        F.concat(name, pick(21, " = ", "=", ": ", ": ", "=\"", " is: ")).alias("before"), pick(27, " ", ".", " and", "\n", "", "()", "\"").alias("after"), pick(31, "src3", "app/config.py", "tests/fixtures", "docs/examples", "").alias("path"),
+    )
     bad = F.struct(
         pick(9, hexa(40), uuid, F.concat(word(13), F.lit("_"), word(17), F.lit("_"), word(21), number), F.concat(word(13), F.initcap(word(17)), F.initcap(word(21)), number), F.concat(word(13), F.lit("/"), word(17), F.lit("/"), word(21), F.lit("-"), number), F.lit("xxxxxxxxxxxxxxxx0000"), hexa(64), F.concat(word(13), F.lit("-"), word(17), F.lit("-"), word(21), F.lit("-"), number)).alias("candidate"),
         pick(3, "commit ", "see sha256:", "md5 ", "checksum = ", "uuid: ", "build ", "https://host.example/", "of the ", "file name ", "image digest ", "in ", "revision=\"", "etag: \"", "and then ").alias("before"),
         pick(27, " ", ".html", "\"", "", "\n", " and").alias("after"), pick(31, "src3", "tests/fixtures", "docs/examples", "src/main.js", "package/lock", "").alias("path"),
     )
-    found = df.select(F.when(secret, good).otherwise(bad).alias("f"), secret.alias("secret"))
-    return found.select("f.*", "secret").filter(F.rlike("candidate", F.lit(f"^{CANDIDATE}$")))
+    fifth = F.conv(F.substring("h", 60, 4), 16, 10).cast("int") % 5 == 0
+    found = F.when(secret & fifth, bare).when(secret, good).when(fifth, empty).otherwise(bad)
+    return df.select(found.alias("f"), secret.alias("secret")).select("f.*", "secret").filter(F.length("candidate") >= 6)
 
 
 def training(findings: DataFrame) -> Forest:
@@ -170,24 +197,44 @@ def training(findings: DataFrame) -> Forest:
     return Forest.grown(x, y) if len(rows) else Forest([0.0])
 
 
+def _runs(text: Column) -> Column:
+    """What the pattern finds, in order; a name and what joins it to its value come along."""
+    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+
+
+def _led(run: Column) -> Column:
+    """Characters of a run before its candidate."""
+    name = F.regexp_extract(run, f"^({_ASSIGNED}){_VALUE}$", 1)
+    return F.when(F.rlike(run, F.lit(f"^(?:{_BLOCK}|{_WEB})$")), F.lit(0)).otherwise(F.length(name))
+
+
 def scan(text: Column, path: Column, forest: Forest) -> Column:
     """Array of structs (candidate, score) of a text's candidates in order; empty for null and for texts without one."""
-    parts, runs = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    parts, runs = F.split(text, CANDIDATE, -1), _runs(text)
     # what stands before a run begins with the run before it: a key's name may be a run itself
     led = F.transform(F.arrays_zip(F.concat(F.array(F.lit("")), runs).alias("run"), parts.alias("part")), lambda x: F.concat(x["run"], x["part"]))
     near = F.arrays_zip(
-        runs.alias("candidate"),
+        runs.alias("run"), F.transform(runs, _led).alias("led"),
         F.transform(led, lambda x: F.substr(x, F.greatest(F.lit(1), F.length(x) - CONTEXT + 1))).alias("before"),
         F.slice(F.transform(parts, lambda x: F.substring(x, 1, CONTEXT)), 2, F.size(parts)).alias("after"),
-    )
-    near = F.filter(near, lambda x: x["candidate"].isNotNull())
-    near = F.transform(near, lambda x: F.struct(x["candidate"].alias("candidate"), x["before"].alias("before"), F.coalesce(x["after"], F.lit("")).alias("after"), F.coalesce(path, F.lit("")).alias("path")))
+    )
+    near = F.filter(near, lambda x: x["run"].isNotNull())
+    where = lambda before: F.coalesce(F.nullif(F.regexp_extract(before, _FILE, 1), F.lit("")), path, F.lit(""))
+    near = F.transform(near, lambda x: F.struct(
+        F.substr(x["run"], x["led"] + 1).alias("candidate"), F.concat(x["before"], F.substr(x["run"], F.lit(1), x["led"])).alias("before"),
+        F.coalesce(x["after"], F.lit("")).alias("after"), where(x["before"]).alias("path"),
+    ))
     scored = F.transform(F.transform(near, _features), lambda x: F.struct(x["candidate"].alias("candidate"), forest.column(x).alias("score")))
     return F.when(F.rlike(text, F.lit(CANDIDATE)), scored).otherwise(F.array().cast("array<struct<candidate:string,score:double>>"))
 
 
 def find(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: key, n_candidates, n_secrets, best score, secrets (hashed) and the redacted text."""
+    """One row for each row of ``docs``: key, n_candidates, n_secrets, best score, secrets (hashed) and the redacted text.
+
+    A null text has no candidates and stays null, an empty one stays empty.  Whole
+    texts are read, however long.  Repeated rows and keys stay rows of their own;
+    an empty table gives none; other columns are left out.
+    """
     df = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), scan(F.col(f"`{text}`").cast("string"), F.col(f"`{path}`").cast("string"), forest).alias("found"))
     held = F.filter("found", lambda x: x["score"] >= LEAST_SCORE)
     return df.select(
@@ -198,6 +245,9 @@ def find(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with every secret found replaced; longer ones first, so that none is cut by another."""
-    held = F.array_sort(F.filter(found, lambda x: x["score"] >= LEAST_SCORE), lambda a, b: F.length(b["candidate"]) - F.length(a["candidate"]))
-    return F.aggregate(held, text, lambda t, x: F.replace(t, x["candidate"], F.lit(REDACTED)))
+    """The text with every secret in ``found`` (what ``scan`` gives for it) replaced where it stands; all else stays."""
+    lead = lambda run, c: F.substr(run, F.lit(1), F.length(run) - F.length(c))
+    bits = F.zip_with(_runs(text), found, lambda run, x: F.when(x["score"] >= LEAST_SCORE, F.concat(lead(run, x["candidate"]), F.lit(REDACTED))).otherwise(run))
+    both = F.zip_with(F.split(text, CANDIDATE, -1), bits, lambda part, bit: F.concat(part, F.coalesce(bit, F.lit(""))))
+    any_ = F.exists(found, lambda x: x["score"] >= LEAST_SCORE)
+    return F.when(any_, F.array_join(both, "")).otherwise(text)
