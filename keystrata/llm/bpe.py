@@ -1,144 +1,125 @@
 """BPE encoding and decoding with tree concatenation for long texts.
 
 A byte-level tokenizer cuts a text into pre-tokens and merges bytes inside each.
-Two facts make parts joinable exactly:
-
-* where a character that is no white space meets a space or line break, the
-  pre-tokenizer always cuts, so ids of both sides follow one another;
-* inside one pre-token, a sequence of tokens is the encoding if and only if every
-  two neighbours are the encoding of their own two texts.
-
-Texts up to ``long_chars`` characters are encoded where they lie.  A longer text
-becomes leaves of about ``leaf_chars``, cut at such places or, in a long run
-without one, anywhere; leaves are rows, dealt over the cluster and encoded in
-parallel.  Then halves are joined as a tree.  At a cut of the first kind they are
-put side by side.  At any other cut a window of tokens around the join is
-encoded anew and grows until its first tokens are those of the left half and its
-last tokens those of the right half: then each neighbouring pair is a pair of
-one of the three encodings, so the whole is exact.  A window that reaches both
-ends is the plain encoding.
+Inside one pre-token, a sequence of tokens is the encoding if and only if every two
+neighbours are the encoding of their own two texts.
+
+Texts up to ``long_chars`` characters are encoded where they lie.  A longer text is cut
+into leaves of ``leaf_chars`` characters, wherever that falls; leaves are rows, dealt
+over the cluster and encoded in parallel.  Then neighbours are joined as a tree: at
+each join a window of tokens around it is encoded anew and grows until its first
+token is that of the left part and its last token that of the right part: then each
+neighbouring pair is a pair of one of the three encodings, so the whole is exact.  A
+window that reaches both ends is the plain encoding.
+
+The tree has one level of tasks for each factor of ``FAN`` leaves, so that the joins of a
+very long text run in parallel too; only its ids come together at the root, whose
+row holds them.  Decoding goes from each document's ids back to bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces_of
-from .tokenizing import Pieces, tokenizer
+from .shared import freeing, pieces_of, stored
+from .tokenizing import Bytes, Pieces, id_bytes, tokenizer
 
-LONG_CHARS = 1 << 16
-LEAF_CHARS = 1 << 14
+LONG_CHARS = 1 << 15
+LEAF_CHARS = 1 << 13
+#: Leaves of a text, or nodes of the level below, that one task joins.
+FAN = 64
 #: Tokens on each side of a join in the first window, more than a special token has bytes; doubled until both sides agree.
 WINDOW = 16
-_BREAK = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
-LEAF = "key long, row long, leaf int, hard boolean, text string"
-CODED = "key long, row long, leaf int, hard boolean, text binary, ids array<int>"
-OUT = "key long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+LEAF = "key long, row long, leaf long, text string"
+CODED = "key long, row long, leaf long, windows long, ids binary"
+OUT = "key long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string, windows long"
 
 
-def leaves(text: str, leaf_chars: int = LEAF_CHARS) -> list[tuple[str, bool]]:
-    """(leaf, hard): the text cut to leaves; hard if it was cut before the leaf at no natural place."""
-    out, at, hard = [], 0, False
-    while len(text) - at > leaf_chars:
-        last = None
-        for last in _BREAK.finditer(text, at + 1 + leaf_chars // 2, at + leaf_chars):
-            pass
-        to = last.start() if last else at + leaf_chars
-        out.append((text[at:to], hard))
-        at, hard = to, last is None
-    out.append((text[at:], hard))
-    return out
-
-
-class Coded:
-    """A text's bytes, its ids and the bytes that each token has."""
-
-    def __init__(self, raw: bytes, ids: list[int], sizes: list[int]):
-        self.raw, self.ids, self.sizes = raw, ids, sizes
+def leaves(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
+    """The text in leaves; nothing is one empty leaf."""
+    return [text[at : at + leaf_chars] for at in range(0, max(1, len(text)), leaf_chars)]
 
 
 class Encoder:
     """The library's plain encoding, and joins of its results."""
 
     def __init__(self, path: str):
-        self.own = tokenizer(path)
-
-    def sizes(self, ids: list[int]) -> list[int]:
-        """Bytes of each token (a byte-level token has one character for each byte; a special token is ASCII)."""
-        return [len(self.own.id_to_token(i)) for i in ids]
-
-    def plain(self, text: str) -> Coded:
-        ids = self.own.encode(text, add_special_tokens=False).ids
-        return Coded(text.encode(), ids, self.sizes(ids))
-
-    def join(self, a: Coded, b: Coded, hard: bool) -> Coded:
-        """The encoding of both texts one after the other."""
-        if not (hard and a.ids and b.ids):
-            return Coded(a.raw + b.raw, a.ids + b.ids, a.sizes + b.sizes)
-        size = WINDOW
+        self.own, self.bytes = tokenizer(path), Bytes(path)
+        #: Windows encoded so far.
+        self.windows = 0
+
+    def plain(self, text: str) -> list[int]:
+        return self.own.encode(text, add_special_tokens=False).ids
+
+    def join(self, a: list[int], b: list[int]) -> list[int]:
+        """The encoding of two texts, one after the other, from theirs."""
+        if not (a and b):
+            return a + b
+        size, of = WINDOW, self.bytes.of
         while True:
-            i, j = max(0, len(a.ids) - size), min(len(b.ids), size)
-            start, stop = len(a.raw) - sum(a.sizes[i:]), sum(b.sizes[:j])
+            i, j = max(0, len(a) - size), min(len(b), size)
             # a window begins and ends between characters, and not before an
             # apostrophe, whose pre-token depends on the character before it
-            while i and (_inside(a.raw, start) or a.raw[start] == 0x27):
+            while i and (_inside(of[a[i]]) or of[a[i]][0] == 0x27):
                 i -= 1
-                start -= a.sizes[i]
-            while j < len(b.ids) and _inside(b.raw, stop):
-                stop += b.sizes[j]
+            while j < len(b) and _inside(of[b[j]]):
                 j += 1
-            w = self.plain((a.raw[start:] + b.raw[:stop]).decode())
-            if (i == 0 or w.ids[0] == a.ids[i]) and (j == len(b.ids) or w.ids[-1] == b.ids[j - 1]) and (len(w.ids) > 1 or i == 0 and j == len(b.ids)):
-                return Coded(a.raw + b.raw, a.ids[:i] + w.ids + b.ids[j:], a.sizes[:i] + w.sizes + b.sizes[j:])
+            w = self.plain(b"".join(map(of.__getitem__, a[i:] + b[:j])).decode())
+            self.windows += 1
+            if (i == 0 or w[0] == a[i]) and (j == len(b) or w[-1] == b[j - 1]) and (len(w) > 1 or i == 0 and j == len(b)):
+                return a[:i] + w + b[j:]
             size *= 2
 
-    def tree(self, parts: list[tuple[Coded, bool]]) -> Coded:
-        """All parts joined as a tree of halves; each part says whether it was cut hard before it."""
+    def tree(self, parts: list[list[int]]) -> list[int]:
+        """All parts joined as a tree of halves."""
         while len(parts) > 1:
-            two = [(self.join(parts[k][0], parts[k + 1][0], parts[k + 1][1]), parts[k][1]) for k in range(0, len(parts) - 1, 2)]
+            two = [self.join(parts[k], parts[k + 1]) for k in range(0, len(parts) - 1, 2)]
             parts = two + parts[len(parts) - len(parts) % 2 :]
-        return parts[0][0]
+        return parts[0]
 
 
-def _inside(raw: bytes, at: int) -> bool:
-    """Whether ``at`` lies inside a character."""
-    return at < len(raw) and raw[at] & 0xC0 == 0x80
+def _inside(token: bytes) -> bool:
+    """Whether a token begins inside a character."""
+    return token[0] & 0xC0 == 0x80
 
 
-_OUT = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-_CODED = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("leaf", pa.int32()), ("hard", pa.bool_()), ("text", pa.binary()), ("ids", pa.list_(pa.int32()))])
+_OUT = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("windows", pa.int64())])
+_CODED = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("leaf", pa.int64()), ("windows", pa.int64()), ("ids", pa.binary())])
 
 
-def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", ids: bool = True, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def _numbers(ids: bytes) -> list[int]:
+    """Ids written by id_bytes."""
+    return memoryview(ids).cast("I").tolist() if len(ids) else []
+
+
+def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", ids: bool = True, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS, fan: int = FAN) -> DataFrame:
     """Encodes and decodes whole texts: one row a row of ``docs``.
 
     key, n_tokens, ids (null unless asked for), ids_sha256 (of the decimal ids
-    joined by commas) and decoded_sha256 (of the decoded text).  A null text is
-    empty: no ids, both digests those of nothing.  Only the pieces of one long
-    text come together in one task.
+    joined by commas), decoded_sha256 (of the decoded text) and windows (encoded
+    anew around joins).  A null text is empty: no ids, both digests those of
+    nothing.  Rows of the same key are rows of their own; an empty table gives
+    none; other columns are left out.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
+    def finished(own: Bytes, names: list[str], k: int, found: list[int], windows: int) -> dict:
+        return {
+            "key": k, "n_tokens": len(found), "ids": found if ids else None, "windows": windows,
+            "ids_sha256": hashlib.sha256(",".join(map(names.__getitem__, found)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(own.decode(found).encode()).hexdigest(),
+        }
+
     def short(batches):
-        own = tokenizer(tokenizer_path)
-        entry = lambda x: (len(x), ",".join(map(str, x)), own.decode(x, skip_special_tokens=False))
-        plus = lambda a, b: (a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2])
-        pieces = Pieces(tokenizer_path, True, entry, plus)
+        own, pieces = Bytes(tokenizer_path), Pieces(tokenizer_path, True)
+        names = list(map(str, range(len(own.of))))
         for batch in batches:
             for part in pieces_of(batch, 64):
-                data, out = part.to_pydict(), []
-                for k, found in zip(data["key"], pieces.values(data["text"])):
-                    shown = ",".join([x[1] for x in found])
-                    out.append({
-                        "key": k, "n_tokens": sum(x[0] for x in found), "ids": list(map(int, shown.split(","))) if ids and shown else [] if ids else None,
-                        "ids_sha256": hashlib.sha256(shown.encode()).hexdigest(),
-                        "decoded_sha256": hashlib.sha256("".join([x[2] for x in found]).encode()).hexdigest(),
-                    })
+                data = part.to_pydict()
+                out = [finished(own, names, k, _numbers(b"".join(found)), 0) for k, found in zip(data["key"], pieces.values(data["text"]))]
                 yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
     def cut(batches):
@@ -146,26 +127,33 @@ def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
             for one in pieces_of(batch, 1):
                 k, row, whole = (one.column(i)[0].as_py() for i in range(3))
                 found = leaves(whole, leaf_chars)
-                yield pa.RecordBatch.from_pydict({"key": [k] * len(found), "row": [row] * len(found), "leaf": range(len(found)), "hard": [h for _, h in found], "text": [x for x, _ in found]}, schema=pa.schema([("key", pa.int64()), ("row", pa.int64()), ("leaf", pa.int32()), ("hard", pa.bool_()), ("text", pa.string())]))
+                yield pa.RecordBatch.from_pydict({"key": [k] * len(found), "row": [row] * len(found), "leaf": range(len(found)), "text": found}, schema=pa.schema([("key", pa.int64()), ("row", pa.int64()), ("leaf", pa.int64()), ("text", pa.string())]))
 
     def encode(batches):
         own = Encoder(tokenizer_path)
         for batch in batches:
             for part in pieces_of(batch, 16):
-                out = part.to_pylist()
-                for r in out:
-                    c = own.plain(r["text"])
-                    r |= {"text": c.raw, "ids": c.ids}
+                out = [{"key": r["key"], "row": r["row"], "leaf": r["leaf"], "windows": 0, "ids": id_bytes(own.plain(r["text"]))} for r in part.to_pylist()]
                 yield pa.RecordBatch.from_pylist(out, schema=_CODED)
 
     def joined(table: pa.Table) -> pa.Table:
         own, parts = Encoder(tokenizer_path), sorted(table.to_pylist(), key=lambda r: r["leaf"])
-        whole = own.tree([(Coded(r["text"], r["ids"], own.sizes(r["ids"])), r["hard"]) for r in parts])
-        decoded = own.own.decode(whole.ids, skip_special_tokens=False)
-        out = {"key": parts[0]["key"], "n_tokens": len(whole.ids), "ids": whole.ids if ids else None, "ids_sha256": hashlib.sha256(",".join(map(str, whole.ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
-        return pa.Table.from_pylist([out], schema=_OUT)
+        whole = own.tree([_numbers(r["ids"]) for r in parts])
+        out = parts[0] | {"leaf": parts[0]["leaf"] // fan, "windows": sum(r["windows"] for r in parts) + own.windows, "ids": id_bytes(whole)}
+        return pa.Table.from_pylist([out], schema=_CODED)
+
+    def root(batches):
+        own = Bytes(tokenizer_path)
+        names = list(map(str, range(len(own.of))))
+        for batch in batches:
+            for part in pieces_of(batch, 1):
+                r = part.to_pylist()[0]
+                yield pa.RecordBatch.from_pylist([finished(own, names, r["key"], _numbers(r["ids"]), r["windows"])], schema=_OUT)
 
     is_long = F.length("text") > long_chars
     dealt = rows.filter(is_long).select("key", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(cut, LEAF)
-    dealt = dealt.repartition(F.col("row"), F.col("leaf")).mapInArrow(encode, CODED)
-    return rows.filter(~is_long).mapInArrow(short, OUT).unionByName(dealt.groupBy("row").applyInArrow(joined, OUT))
+    nodes = stored(dealt.repartition(F.col("row"), F.col("leaf")).mapInArrow(freeing(encode), CODED), "bpe-leaves")
+    last = nodes.agg(F.max("leaf")).first()[0] or 0
+    while last:
+        nodes, last = nodes.groupBy("row", F.expr(f"leaf div {int(fan)}")).applyInArrow(joined, CODED), last // fan
+    return rows.filter(~is_long).mapInArrow(freeing(short), OUT).unionByName(nodes.mapInArrow(freeing(root), OUT))

@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import pieces_of, stored
-from .tokenizing import Pieces, id_bytes
+from .shared import freeing, pieces_of, stored
+from .tokenizing import Pieces
 
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-#: Pieces that a worker keeps in a generation while encoding, which is most of the work here.
-PIECES = 600_000
+#: Bytes of a generation of a task's memory of pieces; encoding is most of the work here.
+PIECES_BYTES = 80 << 20
 BLOCKS = "shard int, block int, before long, n_ids int, bits boolean, planes array<binary>, keys array<long>, counts array<long>, offsets array<long>, parts array<long>"
 READ = "key long, shard int, at long, part long, first long, n long, whole boolean, crc long, ids binary"
 
@@ -94,7 +94,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key:
     out = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int32()), ("bits", pa.bool_()), ("planes", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
 
     def encode(batches):
-        pieces = Pieces(tokenizer_path, False, id_bytes, bytes.__add__, PIECES)
+        pieces = Pieces(tokenizer_path, False, PIECES_BYTES)
 
         def docs_of():
             number = 0
@@ -109,7 +109,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key:
         for row in _blocks(docs_of(), TaskContext.get().partitionId(), block_ids, bits):
             yield pa.RecordBatch.from_pylist([row], schema=out)
 
-    rows.mapInArrow(encode, BLOCKS).write.parquet(path)
+    rows.mapInArrow(freeing(encode), BLOCKS).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -142,7 +142,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             crc = zlib.crc32(r["ids"], crc)
         return pa.Table.from_pylist([rows[0] | {"n": sum(r["n"] for r in rows), "crc": crc, "ids": None, "whole": True}], schema=out)
 
-    pieces = stored(blocks.mapInArrow(decode, READ), "token-pieces")
+    pieces = stored(blocks.mapInArrow(freeing(decode), READ), "token-pieces")
     whole = pieces.filter("whole")
     rest = pieces.filter("not whole").groupBy("shard", "part").applyInArrow(joined, READ)
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").cast("long").alias("n"))

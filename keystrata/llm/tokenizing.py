@@ -2,8 +2,8 @@
 
 Byte-pair encoding works on pre-tokens, so a text cut where the pre-tokenizer
 always cuts has the ids of its pieces one after another.  Natural text repeats
-its words, so a worker keeps the ids of the pieces it has met.  The memory has a
-fixed size and changes no result.
+its words, so a task keeps the ids of the pieces it has met.  The memory is
+bounded by bytes and changes no result.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import re
 import sys
 from array import array
 
-#: Entries in a generation of a worker's memory, unless given; about 200 bytes each.
-CACHE_PIECES = 150_000
+#: Bytes of a generation of a task's memory, unless given; there are two generations of pieces and two of parts.
+CACHE_BYTES = 24 << 20
+#: Bytes that a dict entry, a short str and a bytes object take besides their contents.
+ENTRY_BYTES = 190
 #: Text whose spaces are only these four is cut at them; any other is encoded whole.
 _OTHER_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
 _RUNS = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -22,7 +24,7 @@ _RUNS = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 LATIN_END = "\u0100"
 #: ASCII symbols but the apostrophe, which begins contractions.
 SYMBOLS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-#: Longer runs without a space are not kept.
+#: Longer runs are not kept.
 MAX_PIECE = 64
 
 _loaded: dict = {}
@@ -41,33 +43,40 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def _byte_letters() -> dict[int, str]:
-    """Letters below LATIN_END as the byte-level alphabet writes their UTF-8 bytes.
+def _byte_alphabet() -> dict[int, str]:
+    """The character of each byte in the byte-level alphabet.
 
-    That alphabet gives each printable Latin-1 byte its own character and counts
-    the others up from U+0100 in order.
+    It gives each printable Latin-1 byte its own character and counts the others up from U+0100 in order.
     """
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = iter(range(0x100, 0x200))
-    shown = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters below LATIN_END as the byte-level alphabet writes their UTF-8 bytes."""
+    shown = _byte_alphabet()
     return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(ord(LATIN_END)) if chr(c).isalpha()}
 
 
 class Memory:
     """A dict of two generations: entries met again move from the older to the younger, and the older is dropped when the younger is full."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, limit: int):
+        self.limit, self.held, self.young, self.old = limit, 0, {}, {}
 
     def get(self, key):
         value = self.young.get(key)
         if value is None and (value := self.old.get(key)) is not None:
-            self.young[key] = value
+            self.put(key, value)
         return value
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.young, self.old = {}, self.young
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) > MAX_PIECE:
+            return
+        self.held += len(key) + len(value) + ENTRY_BYTES
+        if self.held > self.limit:
+            self.young, self.old, self.held = {}, self.young, 0
         self.young[key] = value
 
 
@@ -76,39 +85,39 @@ class Pieces:
 
     ``spaces`` says whether white space counts (byte-level vocabularies: a piece
     is the white space before a word and the word) or is dropped by the
-    tokenizer, which also lower-cases (a piece is a word).  ``entry`` makes the
-    value kept for ids, ``plus`` joins the values of two neighbouring parts.
+    tokenizer, which also lower-cases (a piece is a word).  Ids are little-endian
+    32-bit numbers.
 
     A piece of Latin-1 letters followed by ASCII symbols other than the apostrophe is two
     pre-tokens.  Letters alone (with one space before them, the same) go straight to
     the library's merge step; all else takes the library's whole way.
     """
 
-    def __init__(self, path: str, spaces: bool, entry, plus, size: int = CACHE_PIECES):
-        self.own, self.spaces, self.entry, self.plus = tokenizer(path), spaces, entry, plus
+    def __init__(self, path: str, spaces: bool, limit: int = CACHE_BYTES):
+        self.own, self.spaces = tokenizer(path), spaces
         self.model, self.letters = self.own.model, _byte_letters()
-        self.pieces, self.parts = Memory(size), Memory(size)
+        self.pieces, self.parts = Memory(limit), Memory(limit)
 
-    def _word(self, word: str):
+    def _word(self, word: str) -> bytes:
         """The value of Latin-1 letters, for ``spaces`` perhaps after a space."""
         value = self.parts.get(word)
         if value is None:
             shown = word.replace(" ", "\u0120")
-            value = self.entry([t.id for t in self.model.tokenize(shown if word.isascii() else shown.translate(self.letters))])
+            value = id_bytes([t.id for t in self.model.tokenize(shown if word.isascii() else shown.translate(self.letters))])
             self.parts.put(word, value)
         return value
 
-    def _whole(self, text: str):
-        return self.entry(self.own.encode(text, add_special_tokens=False).ids)
+    def _whole(self, text: str) -> bytes:
+        return id_bytes(self.own.encode(text, add_special_tokens=False).ids)
 
-    def _symbols(self, tail: str):
+    def _symbols(self, tail: str) -> bytes:
         value = self.parts.get(tail)
         if value is None:
             value = self._whole(tail)
             self.parts.put(tail, value)
         return value
 
-    def _learn(self, piece: str):
+    def _learn(self, piece: str) -> bytes:
         """The value of a piece not in the young generation."""
         value = self.pieces.old.get(piece)
         if value is None:
@@ -120,17 +129,16 @@ class Pieces:
                     word = word.lower()
                 value = self._word(" " + word if first == " " else word)
                 if first == "\n":
-                    value = self.plus(self._symbols("\n"), value)
+                    value = self._symbols("\n") + value
                 if len(head) < len(piece):
-                    value = self.plus(value, self._symbols(piece[len(head) :]))
+                    value += self._symbols(piece[len(head) :])
             else:
                 value = self._whole(piece)
-        if len(piece) <= MAX_PIECE:
-            self.pieces.put(piece, value)
+        self.pieces.put(piece, value)
         return value
 
-    def values(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces in order."""
+    def values(self, texts: list[str]) -> list[list[bytes]]:
+        """For each text the ids of its pieces in order."""
         out = []
         for text in texts:
             if _OTHER_SPACE.search(text):
@@ -144,6 +152,21 @@ class Pieces:
         return out
 
 
+class Bytes:
+    """The bytes of each token of a byte-level vocabulary, by id."""
+
+    def __init__(self, path: str):
+        plain = {c: b for b, c in _byte_alphabet().items()}
+        own = tokenizer(path)
+        shown = [own.id_to_token(i) for i in range(own.get_vocab_size(with_added_tokens=True))]
+        # a special token is written as it is
+        self.of = [bytes(map(plain.__getitem__, s)) if s is not None and all(c in plain for c in s) else (s or "").encode() for s in shown]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; bytes that are no UTF-8 become the replacement character."""
+        return b"".join(map(self.of.__getitem__, ids)).decode("utf-8", "replace")
+
+
 def id_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian 32-bit numbers."""
     numbers = array("I", ids)

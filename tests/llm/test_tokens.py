@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from keystrata.llm import bpe, token_files
-from keystrata.llm.tokenizing import Pieces, id_bytes, tokenizer
+from keystrata.llm.tokenizing import Bytes, Pieces, id_bytes, tokenizer
 
 from .conftest import ODD
 
@@ -28,10 +28,18 @@ def plain(path, text):
 
 @pytest.mark.parametrize("path,spaces", [(WORDS, False), (BYTES, True)])
 def test_pieces_equal_whole_texts(path, spaces):
-    pieces = Pieces(path, spaces, tuple, lambda a, b: a + b)
-    pieces.pieces.size = pieces.parts.size = 50
-    texts = mixes(1500, 1)
-    assert [[i for x in v for i in x] for v in pieces.values(texts)] == [plain(path, t) for t in texts]
+    pieces = Pieces(path, spaces, 10_000)
+    texts = mixes(1500, 1) + ["x" * 100_000, "=" * 100_000]
+    assert [b"".join(v) for v in pieces.values(texts)] == [id_bytes(plain(path, t)) for t in texts]
+    assert all(len(k) <= 64 for m in (pieces.pieces, pieces.parts) for d in (m.young, m.old) for k in d)
+    assert sum(len(d) for m in (pieces.pieces, pieces.parts) for d in (m.young, m.old)) < 4 * 10_000 / 190
+
+
+def test_bytes_decode_as_the_library():
+    own, draw = Bytes(BYTES), random.Random(3)
+    for _ in range(300):
+        ids = [draw.randrange(len(own.of)) for _ in range(draw.randint(0, 40))]
+        assert own.decode(ids) == tokenizer(BYTES).decode(ids, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -67,8 +75,20 @@ def test_tree_equals_whole(leaf):
     for k in range(80):
         text = draw.choice("a =ab日' ") * draw.randint(1, 300) if k % 5 == 0 else "".join(draw.choice(runs if k % 3 else runs[:4]) for _ in range(draw.randint(0, 200)))
         parts = bpe.leaves(text, leaf)
-        assert "".join(x for x, _ in parts) == text
-        assert own.tree([(own.plain(x), hard) for x, hard in parts]).ids == plain(BYTES, text)
+        assert "".join(parts) == text
+        assert own.tree([own.plain(x) for x in parts]) == plain(BYTES, text)
+    assert own.windows
+
+
+def test_long_runs_are_joined_by_levels(spark):
+    """Runs of 100,000 characters without a place to cut, through leaves, windows and three levels of tasks."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdefghij") for _ in range(100_000)), "=" * 100_000, "ab" * 50_000, "日" * 100_000, " " * 100_000, "x" * 99_999 + " 's", "words and 'tis " * 7000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["key"]: r for r in bpe.code(df, BYTES, fan=5).collect()}
+    for k, text in enumerate(texts):
+        assert got[k]["ids"] == plain(BYTES, text) and got[k]["windows"] >= 12
+        assert got[k]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 @pytest.mark.parametrize("long_chars,leaf", [(50, 16), (1 << 16, 1 << 14)])
