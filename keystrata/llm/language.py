@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces_of
+from .shared import freeing, pieces_of, small, stored
 
 WINDOW = 128
 HIDDEN = 8
@@ -155,8 +155,8 @@ def sample(docs: DataFrame, may_learn: Column, key: str, text: str, lang: str) -
     counts = rows.groupBy("lang").count()
     # draw is even over the longs: this lets about the same number of each language through
     share = F.lit(1.0 * SAMPLE_DOCS) / F.count("*").over(_everything()) / F.col("count")
-    counts = counts.withColumn("least", F.lit(2.0**63) - share * F.lit(2.0**64)).drop("count")
-    rows = rows.join(F.broadcast(counts), "lang").filter(F.col("draw").cast("double") >= F.col("least"))
+    counts = stored(counts.withColumn("least", F.lit(2.0**63) - share * F.lit(2.0**64)).drop("count"), "language-counts")
+    rows = rows.join(small(counts), "lang").filter(F.col("draw").cast("double") >= F.col("least"))
     at = [F.pmod(F.xxhash64(F.lit(j), F.col("draw")), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int") + 1 for j in range(SAMPLE_WINDOWS)]
     rows = rows.select("lang", "draw", F.array(*[F.substr("text", x, F.lit(WINDOW)) for x in at]).alias("parts"))
     rows = rows.orderBy("draw", "lang", "parts").limit(2 * SAMPLE_DOCS).collect()
@@ -190,7 +190,9 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text
     """One row for each row of ``docs``: key, lang_pred, score and the columns in ``keep``.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every
-    text if nothing could be learned.
+    text if nothing could be learned.  Whole texts are read, however long.
+    Repeated rows and keys stay rows of their own, each judged alike; an empty table
+    gives none; columns not in ``keep`` are left out.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)])
 
@@ -212,5 +214,5 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([OUT, *[f"keep_{i} {kinds[f'keep_{i}']}" for i in range(len(keep))]])
-    out = rows.mapInArrow(label, schema)
+    out = rows.mapInArrow(freeing(label), schema)
     return out.select("key", "lang_pred", "score", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])

@@ -6,13 +6,16 @@ Every source may give at most ``max_epochs`` times its size.  A source whose
 share by weight lies above that is clamped there, and what is over is dealt to
 the others in proportion to their weights, until none is above.  One level
 (target = level * weight) holds for all sources not clamped, so each round needs
-two sums over the table of sources and the driver only holds the level.
+two sums over the table of sources and the driver only holds the level.  That table is
+broadcast only if counted to be small.
 
 A document gives ``floor(target / size of source)`` whole repetitions.  The
 fractional rest goes to whole documents drawn by a seeded hash: the cut in the
 hash order at which the drawn words reach the rest of the target is found from
 two histograms (4,096 bins each, the second inside the bin that holds the cut), so no source is
-sorted or gathered, however large it is.
+sorted or gathered, however large it is.  Where one document lies at the cut, it is taken if
+that leaves the smaller miss.  The hash is of key, source and text, so only rows
+equal in all three are drawn together.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, stored
+from .shared import WORD, small, stored
 
 BINS = 4096
 
@@ -50,8 +53,8 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
     return sources.withColumn("target", F.when(F.col("weight") > 0, F.least(cap, share)).otherwise(0.0))
 
 
-def _draw(seed: int, key: Column, source: Column) -> Column:
-    return F.xxhash64(F.lit(seed), key, source)
+def _draw(seed: int, key: Column, source: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), key, source, text)
 
 
 def plan_mix(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float, seed: int, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -63,15 +66,17 @@ def plan_mix(docs: DataFrame, weights: DataFrame, share: float, max_epochs: floa
     sized = stored(
         docs.select(
             F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
-            _draw(seed, F.col(f"`{key}`"), F.col(f"`{source}`")).alias("draw"),
+            _draw(seed, F.col(f"`{key}`"), F.col(f"`{source}`"), F.col(f"`{text}`")).alias("draw"),
         ),
         "mix-sizes",
     )
-    first = sized.groupBy("source", F.shiftrightunsigned("draw", 52).cast("int").alias("bin1")).agg(F.sum("size").alias("n"))
+    first = sized.groupBy("source", F.shiftrightunsigned("draw", 52).cast("int").alias("bin1")).agg(F.sum("size").alias("n"), F.count_if(F.col("size") > 0).alias("docs"))
     first = stored(first, "mix-bins")
+    weights = stored(weights.select("source", "weight"), "mix-weights")
     sizes = first.groupBy("source").agg(F.sum("n").alias("source_size"))
     same = sizes["source"].eqNullSafe(weights["source"])
-    sizes = sizes.join(F.broadcast(weights), same, "left").select(sizes["source"], "source_size", F.coalesce(weights["weight"], F.lit(0)).cast("double").alias("weight"))
+    sizes = sizes.join(small(weights), same, "left").select(sizes["source"], "source_size", F.coalesce(weights["weight"], F.lit(0)).cast("double").alias("weight"))
+    sizes = stored(sizes, "mix-sources")
     total = sizes.agg(F.sum("source_size")).first()[0] or 0
     plan = water_fill(sizes, share * total, max_epochs)
     plan = plan.withColumn("__ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -80,49 +85,51 @@ def plan_mix(docs: DataFrame, weights: DataFrame, share: float, max_epochs: floa
 
     def cut(bins: DataFrame, bin: str, plan: DataFrame) -> DataFrame:
         """The bin in which the drawn words reach ``rest``, and what is then left of it."""
-        upto = bins.selectExpr("source", bin, "n", f"sum(n) over (partition by source order by {bin}) - n as before")
+        upto = bins.selectExpr("source", bin, "n", "docs", f"sum(n) over (partition by source order by {bin}) - n as before")
         same = upto["source"].eqNullSafe(plan["source"])
-        held = upto.join(F.broadcast(plan.select("source", "rest")), same).filter("before <= rest and rest < before + n")
-        return held.select(upto["source"], F.col(bin), (F.col("rest") - F.col("before")).alias("rest"), "n")
+        held = upto.join(small(plan.select("source", "rest")), same).filter("before <= rest and rest < before + n")
+        return held.select(upto["source"], F.col(bin), (F.col("rest") - F.col("before")).alias("rest"), "n", "docs")
 
-    cut1 = cut(first, "bin1", plan)
+    cut1 = stored(cut(first, "bin1", plan), "mix-cut")
     edge = cut1.select(F.col("source").alias("s"), F.col("bin1").alias("b"))
-    inside = sized.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned("draw", 52) == F.col("b")))
-    second = inside.groupBy("source", (F.shiftrightunsigned("draw", 40) % BINS).cast("int").alias("bin2")).agg(F.sum("size").alias("n"))
+    inside = sized.join(small(edge), F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned("draw", 52) == F.col("b")))
+    second = inside.groupBy("source", (F.shiftrightunsigned("draw", 40) % BINS).cast("int").alias("bin2")).agg(F.sum("size").alias("n"), F.count_if(F.col("size") > 0).alias("docs"))
     cut2 = cut(second, "bin2", cut1.select("source", "rest"))
-    cuts = cut1.select("source", "bin1").join(cut2.select(F.col("source").alias("s"), "bin2", "rest", "n"), F.col("source").eqNullSafe(F.col("s")), "left")
-    # the last 40 bits go on from there as if the words of the cell were spread evenly
-    last = F.coalesce(F.col("rest") / F.col("n"), F.lit(0.0)) * float(1 << 40)
+    cuts = cut1.select("source", "bin1").join(cut2.select(F.col("source").alias("s"), "bin2", "rest", "n", "docs"), F.col("source").eqNullSafe(F.col("s")), "left")
+    # the last 40 bits go on from there as if the words of the cell were spread evenly, but one document is taken or not
+    share = F.coalesce(F.col("rest") / F.col("n"), F.lit(0.0))
+    last = F.when(F.col("docs") == 1, F.when(share >= 0.5, 1.0).otherwise(0.0)).otherwise(share) * float(1 << 40)
     edge = cuts.select(F.col("source").alias("s"), ((F.col("bin1") * BINS + F.coalesce("bin2", F.lit(0))).cast("long")).alias("cell"), last.alias("last"))
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cell", "last")
     return sized, stored(plan, "mix-cuts")
 
 
-def with_repeats(rows: DataFrame, plan: DataFrame, draw: Column, source: str = "source") -> DataFrame:
-    """``rows`` with source_size, target and __repeats: how often the mix takes each."""
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
-    df = rows.withColumn("__draw", draw).join(F.broadcast(plan), F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left")
-    cell, low = F.shiftrightunsigned("__draw", 40), F.col("__draw").bitwiseAND((1 << 40) - 1)
-    drawn = (cell < F.col("__cell")) | ((cell == F.col("__cell")) & (low < F.col("__last")))
-    repeats = (F.coalesce("__whole", F.lit(0)) + F.when(drawn, 1).otherwise(0)).cast("int")
-    keep = [F.col(f"`{c}`") for c in rows.columns if c not in ("source_size", "target")]
-    return df.select(*keep, F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), repeats.alias("__repeats"))
+def with_repeats(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (row, source, draw) with source_size, target and repeats: how often the mix takes each."""
+    plan = plan.select(F.col("source").alias("planned"), "source_size", "target", "whole", "cell", "last")
+    df = rows.join(small(plan), F.col("source").eqNullSafe(F.col("planned")), "left")
+    cell, low = F.shiftrightunsigned("draw", 40), F.col("draw").bitwiseAND((1 << 40) - 1)
+    drawn = (cell < F.col("cell")) | ((cell == F.col("cell")) & (low < F.col("last")))
+    repeats = (F.coalesce("whole", F.lit(0)) + F.when(drawn, 1).otherwise(0)).cast("int")
+    return df.select("row", "source", "source_size", "target", repeats.alias("repeats"))
 
 
 def mix(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float, seed: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row for each row of ``docs``: key, source, size, source_size, target, taken.
 
     Null and empty texts have size 0 and give nothing.  Equal rows are drawn
-    together.  An empty table gives an empty result.
+    together.  Texts are counted whole, however long.  An empty table gives an
+    empty result; other columns are left out.
     """
     sized, plan = plan_mix(docs, weights, share, max_epochs, seed, key, text, source)
-    out = with_repeats(sized, plan, F.col("draw"))
-    return out.select("key", "source", "size", "source_size", "target", (F.col("size") * F.col("__repeats")).cast("long").alias("taken"))
+    out = with_repeats(sized.select(F.struct("key", "size").alias("row"), "source", "draw"), plan)
+    return out.select("row.key", "source", "row.size", "source_size", "target", (F.col("row.size") * F.col("repeats")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float, seed: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` themselves, each as often as the mix takes it."""
+    """The rows of ``docs`` themselves, with all their columns, each as often as the mix takes it."""
     _, plan = plan_mix(docs, weights, share, max_epochs, seed, key, text, source)
-    out = with_repeats(docs, plan, _draw(seed, F.col(f"`{key}`"), F.col(f"`{source}`")), source).filter("__repeats > 0")
-    out = out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__repeats"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    draw = _draw(seed, F.col(f"`{key}`"), F.col(f"`{source}`"), F.col(f"`{text}`"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("source"), draw.alias("draw"))
+    out = with_repeats(rows, plan).filter("repeats > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
