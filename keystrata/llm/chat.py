@@ -15,8 +15,10 @@ path changes owners, which is short even for long conversations.
 
 Conversations are streamed in order of their turns through tasks that hold one
 slice, so neither a long conversation nor a first turn that many share is ever
-gathered; offsets come from sums by partition of a range partitioning.  Positions
-and intervals count characters, the tokens of this template.
+gathered; offsets come from sums by partition of a range partitioning.
+
+Each node's turn is tokenized once.  Nodes hold its ids, and places, position ids and
+ancestor intervals in tokens, for training, and in characters, for reading texts back.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import pieces_of, stored
+from .shared import freeing, pieces_of, stored
+from .tokenizing import tokenizer
 
 HEAD, END = "### ", "</turn>\n"
 ASSISTANT = "assistant"
@@ -64,14 +67,18 @@ def parsed(turn: str) -> tuple[str, str]:
 
 
 def _kinds(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
 
 STEPS = "conv long, depth long, node binary, at long, size long, loss_from long, loss_to long, turn string"
 CHAINS = "owner long, chain binary"
-LAID = "part int, owner long, node binary, size long, inside long"
-NODES = "start long, size long, depth long, position long, ancestors_from array<long>, ancestors_to array<long>, loss_from long, loss_to long, turn string, node binary"
+TURNS = "node binary, owner long, depth long, size long, loss_from long, loss_to long, turn string, n_tokens long, ids array<int>"
+LAID = "part int, owner long, node binary, size long, inside long, n_tokens long, token_inside long"
+NODES = (
+    "start long, size long, depth long, position long, ancestors_from array<long>, ancestors_to array<long>, "
+    "token_start long, n_tokens long, token_position long, token_ancestors_from array<long>, token_ancestors_to array<long>, node binary"
+)
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 #: Stands for a null conversation in the tree; such rows are one conversation.
 NO_CONV = -(1 << 63)
@@ -135,36 +142,67 @@ def _chain():
     return step
 
 
+def _tokenized(path: str):
+    def step_of():
+        own = tokenizer(path)
+
+        def step(r):
+            if r is not None:
+                ids = own.encode(r["turn"], add_special_tokens=False).ids
+                yield r | {"n_tokens": len(ids), "ids": ids}
+
+        return step
+
+    return step_of
+
+
 def _lay():
-    part, inside = TaskContext.get().partitionId(), 0
+    part, inside, token_inside = TaskContext.get().partitionId(), 0, 0
 
     def step(r):
-        nonlocal inside
+        nonlocal inside, token_inside
         if r is None:
             return
-        yield {"part": part, "owner": r["owner"], "node": r["node"], "size": r["size"], "inside": inside}
-        inside += r["size"]
+        yield {"part": part, "owner": r["owner"], "node": r["node"], "size": r["size"], "inside": inside, "n_tokens": r["n_tokens"], "token_inside": token_inside}
+        inside, token_inside = inside + r["size"], token_inside + r["n_tokens"]
 
     return step
 
 
+class _Intervals:
+    """Intervals in ascending order, merged where they touch."""
+
+    def __init__(self):
+        self.begins, self.ends = [], []
+
+    def add(self, start: int, size: int) -> None:
+        if not size:
+            return
+        if self.ends and self.ends[-1] == start:
+            self.ends[-1] += size
+        else:
+            self.begins.append(start)
+            self.ends.append(start + size)
+
+
 def _ancestors():
     """Each owned node with the merged intervals of the nodes before it on its path."""
-    conv, begins, ends = None, [], []
+    conv, chars, tokens, at = (), _Intervals(), _Intervals(), 0
 
     def step(r):
-        nonlocal conv, begins, ends
+        nonlocal conv, chars, tokens, at
         if r is None:
             return
-        if r["conv"] != conv:
-            conv, begins, ends = r["conv"], [], []
-        if r["owner"] == conv:
-            yield {"start": r["start"], "size": r["size"], "depth": r["depth"], "position": r["at"], "ancestors_from": list(begins), "ancestors_to": list(ends), "loss_from": r["loss_from"], "loss_to": r["loss_to"], "turn": r["turn"], "node": r["node"]}
-        if ends and ends[-1] == r["start"]:
-            ends[-1] += r["size"]
-        else:
-            begins.append(r["start"])
-            ends.append(r["start"] + r["size"])
+        if (r["conv"],) != conv:
+            conv, chars, tokens, at = (r["conv"],), _Intervals(), _Intervals(), 0
+        if r["owner"] == r["conv"]:
+            yield {
+                "start": r["start"], "size": r["size"], "depth": r["depth"], "position": r["at"], "ancestors_from": list(chars.begins), "ancestors_to": list(chars.ends),
+                "token_start": r["token_start"], "n_tokens": r["n_tokens"], "token_position": at, "token_ancestors_from": list(tokens.begins), "token_ancestors_to": list(tokens.ends), "node": r["node"],
+            }
+        chars.add(r["start"], r["size"])
+        tokens.add(r["token_start"], r["n_tokens"])
+        at += r["n_tokens"]
 
     return step
 
@@ -189,27 +227,33 @@ def _read():
     return step
 
 
-def write_tree(turns: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> None:
+def write_tree(turns: DataFrame, path: str, tokenizer_path: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> None:
     """Writes ``path``/nodes (each shared turn once, in depth-first order) and ``path``/paths (conv, depth, start: the nodes of each conversation).
 
+    Nodes have the turn's text, its ids by the tokenizer, and in characters and in tokens
+    their start in the layout, their position in their conversations and the intervals of their ancestors.
+
     Null texts and roles are empty.  Null turn numbers come first; rows of the
     same turn follow one another by role and text.  Rows without a conversation
-    are one conversation.  An empty table gives no node.
+    are one conversation.  An empty table gives no node.  Other columns are left out.
     """
     rows = turns.select(F.coalesce(F.col(f"`{conv}`").cast("long"), F.lit(NO_CONV)).alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    steps = stored(_sorted_by_turn(rows, "turn", "role", "text").mapInArrow(_stream(STEPS, _walk), STEPS), "chat-steps")
-    owners = stored(steps.groupBy("node").agg(F.min("conv").alias("owner"), F.first("depth").alias("depth"), F.first("size").alias("size")), "chat-owners")
+    steps = stored(_sorted_by_turn(rows, "turn", "role", "text").mapInArrow(freeing(_stream(STEPS, _walk)), STEPS), "chat-steps")
+    first = [F.first(c).alias(c) for c in ("depth", "size", "loss_from", "loss_to")]
+    # the texts of a node are equal, so any one is its text: dropped to one for each task before they are shuffled
+    owners = steps.groupBy("node").agg(F.min("conv").alias("owner"), *first, F.first("turn").alias("turn"))
+    owners = stored(owners.mapInArrow(freeing(_stream(TURNS, _tokenized(tokenizer_path))), TURNS), "chat-turns")
+    steps = steps.select("conv", "depth", "node", "at", "size")
     owned = steps.select("conv", "depth", "node").join(owners.select("node", "owner"), "node").select("conv", "depth", "owner")
-    chains = _sorted_by_turn(owned, "depth").mapInArrow(_stream(CHAINS, _chain), CHAINS)
+    chains = _sorted_by_turn(owned, "depth").mapInArrow(freeing(_stream(CHAINS, _chain)), CHAINS)
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = owners.join(chains, "owner").repartitionByRange(parts, "chain", "depth").sortWithinPartitions("chain", "depth")
-    laid = stored(order.select("owner", "node", "size").mapInArrow(_stream(LAID, _lay), LAID), "chat-layout")
-    begins = laid.groupBy("part").agg(F.sum("size").alias("n")).selectExpr("part", "sum(n) over (order by part) - n as begins")
-    starts = laid.join(F.broadcast(begins), "part").select("node", "owner", (F.col("begins") + F.col("inside")).alias("start"))
-    placed = steps.join(starts, "node")
-    placed = placed.withColumn("turn", F.when(F.col("owner") == F.col("conv"), F.col("turn")))
-    placed = stored(placed, "chat-placed")
-    nodes = _sorted_by_turn(placed, "depth").mapInArrow(_stream(NODES, _ancestors), NODES)
+    order = owners.select("node", "owner", "depth", "size", "n_tokens").join(chains, "owner").repartitionByRange(parts, "chain", "depth").sortWithinPartitions("chain", "depth")
+    laid = stored(order.select("owner", "node", "size", "n_tokens").mapInArrow(freeing(_stream(LAID, _lay)), LAID), "chat-layout")
+    begins = laid.groupBy("part").agg(F.sum("size").alias("n"), F.sum("n_tokens").alias("m")).selectExpr("part", "sum(n) over (order by part) - n as begins", "sum(m) over (order by part) - m as token_begins")
+    starts = laid.join(F.broadcast(begins), "part").select("node", "owner", (F.col("begins") + F.col("inside")).alias("start"), (F.col("token_begins") + F.col("token_inside")).alias("token_start"), "n_tokens")
+    placed = stored(steps.join(starts, "node"), "chat-placed")
+    nodes = _sorted_by_turn(placed, "depth").mapInArrow(freeing(_stream(NODES, _ancestors)), NODES)
+    nodes = nodes.join(owners.select("node", "loss_from", "loss_to", "turn", "ids"), "node")
     nodes.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/nodes")
     placed.select("conv", "depth", "start").write.parquet(f"{path}/paths")
 
@@ -222,4 +266,4 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """
     nodes = spark.read.parquet(f"{path}/nodes").select("start", "turn", "loss_from", "loss_to")
     paths = spark.read.parquet(f"{path}/paths")
-    return _sorted_by_turn(paths.join(nodes, "start"), "depth").mapInArrow(_stream(READ, _read), READ)
+    return _sorted_by_turn(paths.join(nodes, "start"), "depth").mapInArrow(freeing(_stream(READ, _read)), READ)

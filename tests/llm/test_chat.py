@@ -3,9 +3,13 @@
 import hashlib
 import random
 
+import public_tokenizers
 import pytest
 
 from keystrata.llm import chat
+from keystrata.llm.tokenizing import tokenizer
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 KIND = "conv_id bigint, turn bigint, role string, text string, start bigint, `node` string"
 
@@ -42,7 +46,7 @@ def test_escapes_are_reversible_and_safe(text):
 
 
 def test_read_back(spark, tmp_path):
-    chat.write_tree(made(spark, ODD), f"file://{tmp_path}/c")
+    chat.write_tree(made(spark, ODD), f"file://{tmp_path}/c", BYTES)
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.read_tree(spark, f"file://{tmp_path}/c").collect()}
     assert got == expected(ODD)
 
@@ -53,7 +57,7 @@ def test_layout_is_depth_first_and_attends_to_ancestors(spark, tmp_path):
     for conv in range(40):
         for turn in range(draw.randint(1, 6)):
             rows.append((conv, turn, "user" if turn % 2 == 0 else "assistant", draw.choice("ab") * draw.randint(1, 2)))
-    chat.write_tree(made(spark, rows), f"file://{tmp_path}/c")
+    chat.write_tree(made(spark, rows), f"file://{tmp_path}/c", BYTES)
     nodes = {r["start"]: r for r in spark.read.parquet(f"file://{tmp_path}/c/nodes").collect()}
     paths = {}
     for r in spark.read.parquet(f"file://{tmp_path}/c/paths").collect():
@@ -63,15 +67,22 @@ def test_layout_is_depth_first_and_attends_to_ancestors(spark, tmp_path):
         talks.setdefault(conv, []).append(chat.formatted(role, text))
     distinct = {tuple(t[: i + 1]) for t in talks.values() for i in range(len(t))}
     assert len(nodes) == len(distinct)
-    at = 0
+    at = token_at = 0
     for start in sorted(nodes):
-        assert start == at
+        assert start == at and nodes[start]["token_start"] == token_at
         at += nodes[start]["size"]
+        token_at += nodes[start]["n_tokens"]
     for conv, path in paths.items():
         starts = [s for _, s in sorted(path)]
         assert [nodes[s]["turn"] for s in starts] == talks[conv] and starts == sorted(starts)
         seen, position = set(), 0
+        own, token_seen, token_position = tokenizer(BYTES), set(), 0
         for s in starts:
+            r = nodes[s]
+            assert r["ids"] == own.encode(r["turn"], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"]) and r["token_position"] == token_position
+            assert {c for a, b in zip(r["token_ancestors_from"], r["token_ancestors_to"]) for c in range(a, b)} == token_seen
+            token_position += r["n_tokens"]
+            token_seen |= set(range(r["token_start"], r["token_start"] + r["n_tokens"]))
             held = {c for a, b in zip(nodes[s]["ancestors_from"], nodes[s]["ancestors_to"]) for c in range(a, b)}
             assert held == seen and nodes[s]["position"] == position
             position += nodes[s]["size"]
@@ -88,5 +99,5 @@ def test_layout_is_depth_first_and_attends_to_ancestors(spark, tmp_path):
 
 
 def test_nothing(spark, tmp_path):
-    chat.write_tree(made(spark, []), f"file://{tmp_path}/c")
+    chat.write_tree(made(spark, []), f"file://{tmp_path}/c", BYTES)
     assert chat.read_tree(spark, f"file://{tmp_path}/c").count() == 0
