@@ -14,9 +14,12 @@ order of their gaps, and leaves out all whose bound lies below the k-th best
 score so far.  Bounds are relaxed by more than rounding can amount to and scores
 are whole numbers, so the result is exact.
 
-Blocks are dealt into groups of ``GROUP_BLOCKS``; each group is one task's memory
-while all query chunks stream past it, and the best of all groups are merged by a
-ranked window.  Nothing is broadcast but the pivots (``SAMPLE`` vectors at most
+``GROUP_BLOCKS`` neighbouring blocks are a group, one task's memory.  Queries visit in
+two waves.  First those of each block search their own group, where they lie, which gives
+a k-th best score to beat.  Then headers alone (of chunks of queries: their range of distances from
+each pivot, greatest norm and least score to beat; of blocks: as above) tell which other groups a
+chunk must see, and only those chunks travel to them.  The best of all visits are merged by
+a ranked window.  Nothing is broadcast but the pivots (``SAMPLE`` vectors at most
 are read to choose them).
 """
 
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import freeing, stored
 
 SCALE = 64
 PIVOTS, SAMPLE = 16, 1024
@@ -37,9 +40,11 @@ BLOCK, GROUP_BLOCKS = 2048, 16
 NORM_LIMIT = 2.0**62
 KEYED = "dim int, pivot int, dist double, row long, vec_id long, query boolean, vec binary"
 BLOCKS = "block long, dim int, pivot int, dmin double, dmax double, nmax double, n int, rows binary, ids binary, queries binary, mat binary"
-CHUNK = "block long, dim int, n int, rows binary, ids binary, least binary, mat binary"
-PAIRED = "grp int, kind int, block long, dim int, pivot int, dmin double, dmax double, nmax double, rows binary, ids binary, least binary, mat binary"
+HEAD = "chunk long, home long, dim int, low array<double>, high array<double>, norm double, beat long"
+CHUNK = HEAD + ", rows binary, ids binary, least binary, mat binary"
+PAIRED = "grp long, kind int, block long, dim int, pivot int, dmin double, dmax double, nmax double, rows binary, ids binary, least binary, mat binary"
 FOUND = "row long, query_id long, vec_id long, score long, cand long"
+HOME = FOUND + ", " + CHUNK
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -64,8 +69,8 @@ def far_apart(sample: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Blocks of annuli, written to the shared folder, and their pivots."""
 
-    def __init__(self, pivots: dict[int, np.ndarray], blocks: DataFrame):
-        self.pivots, self.blocks = pivots, blocks
+    def __init__(self, pivots: dict[int, np.ndarray], blocks: DataFrame, group_blocks: int = GROUP_BLOCKS):
+        self.pivots, self.blocks, self.group_blocks = pivots, blocks, group_blocks
 
     @staticmethod
     def distances(pivots: dict[int, np.ndarray], mat: np.ndarray) -> np.ndarray:
@@ -75,7 +80,7 @@ class Index:
         return np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (p * p).sum(1) - 2 * (m @ p.T)))
 
     @classmethod
-    def build(cls, vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", seed: int = 11) -> Index:
+    def build(cls, vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", seed: int = 11, block: int = BLOCK, group_blocks: int = GROUP_BLOCKS) -> Index:
         """Indexes all vectors that take part.
 
         Rows take no part if the key or vector is null, if a component is null
@@ -91,9 +96,9 @@ class Index:
             sample.setdefault(len(r["vec"]), []).append(r["vec"])
         pivots = {d: far_apart(np.array(x, dtype=float).reshape(len(x), d), PIVOTS) for d, x in sample.items()}
         parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        keyed = rows.mapInArrow(cls._keyed(pivots), KEYED)
+        keyed = rows.mapInArrow(freeing(cls._keyed(pivots)), KEYED)
         keyed = keyed.repartitionByRange(parts, "dim", "pivot", "dist", "row").sortWithinPartitions("dim", "pivot", "dist", "row")
-        return cls(pivots, stored(keyed.mapInArrow(cls._cut, BLOCKS), "topk-index"))
+        return cls(pivots, stored(keyed.mapInArrow(freeing(cls._cut(block)), BLOCKS), "topk-index"), group_blocks)
 
     @staticmethod
     def _keyed(pivots):
@@ -119,68 +124,115 @@ class Index:
         return run
 
     @staticmethod
-    def _cut(batches):
-        """Annuli of a sorted partition: runs of one dimension and pivot, BLOCK rows at most."""
-        part, number, held = TaskContext.get().partitionId(), 0, []
+    def _cut(most: int):
+        """Annuli of a sorted partition: runs of one dimension and pivot, ``most`` rows at most."""
 
-        def block():
-            nonlocal number, held
+        def block(held: list[dict], number: int):
             first, last = held[0], held[-1]
             mat = np.frombuffer(b"".join(r["vec"] for r in held), np.int64).reshape(len(held), first["dim"])
             out = {
-                "block": (part << 32) + number, "dim": first["dim"], "pivot": first["pivot"], "dmin": first["dist"], "dmax": last["dist"],
+                "block": number, "dim": first["dim"], "pivot": first["pivot"], "dmin": first["dist"], "dmax": last["dist"],
                 "nmax": float((mat.astype(float) ** 2).sum(1).max()), "n": len(held), "rows": np.array([r["row"] for r in held], np.int64).tobytes(),
                 "ids": np.array([r["vec_id"] for r in held], np.int64).tobytes(), "queries": np.array([r["query"] for r in held], bool).tobytes(), "mat": mat.tobytes(),
             }
-            number, held = number + 1, []
             return pa.RecordBatch.from_pylist([out], schema=_arrow(BLOCKS))
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held and ((held[0]["dim"], held[0]["pivot"]) != (r["dim"], r["pivot"]) or len(held) == BLOCK):
-                    yield block()
-                held.append(r)
-        if held:
-            yield block()
+        def run(batches):
+            number, held = TaskContext.get().partitionId() << 32, []
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if held and ((held[0]["dim"], held[0]["pivot"]) != (r["dim"], r["pivot"]) or len(held) == most):
+                        yield block(held, number)
+                        number, held = number + 1, []
+                    held.append(r)
+            if held:
+                yield block(held, number)
+
+        return run
+
+    def _grouped(self) -> DataFrame:
+        """The blocks with ``grp``: blocks of one group are neighbours of one task that cut them."""
+        return self.blocks.withColumn("grp", F.col("block") - F.pmod(F.col("block").bitwiseAND((1 << 32) - 1), F.lit(self.group_blocks)))
+
+    def home(self, k: int) -> DataFrame:
+        """The first wave: what each query finds in its own group, and the chunks (column chunk not null) with what they have to beat."""
+        own = self._grouped().repartition(F.col("grp")).sortWithinPartitions("grp", "block")
+        return stored(own.mapInArrow(freeing(_home(self.pivots, k)), HOME), "topk-home")
+
+    def visits(self, chunks: DataFrame) -> DataFrame:
+        """(chunk, grp) of the groups, other than its own, that may hold something better for a chunk."""
+        slices = int(self.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        heads = self._grouped().select("grp", "dim", "pivot", "dmin", "dmax", "nmax", F.pmod(F.xxhash64("grp"), F.lit(slices)).cast("int").alias("slice"))
+        asked = chunks.select("chunk", "home", "dim", "low", "high", "norm", "beat", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+        gap = F.greatest(F.lit(0.0), F.get("low", F.col("pivot")) - F.col("dmax"), F.col("dmin") - F.get("high", F.col("pivot")))
+        gap = F.greatest(F.lit(0.0), gap * (1 - 1e-9) - 1e-6 * (1 + F.array_max("high")))
+        bound = (F.col("norm") + F.col("nmax") - gap * gap) / 2
+        met = asked.join(heads, ["slice", "dim"]).filter(F.col("grp") != F.col("home")).filter(bound + 1e-9 * F.abs(bound) + 1 >= F.col("beat"))
+        return met.select("chunk", "grp").distinct()
 
     def search(self, k: int) -> DataFrame:
-        """query_id, rank (from 1), vec_id, score of each query's ``k`` best others, ties to the smaller vec_id."""
-        pivots, n_blocks = self.pivots, self.blocks.count()
-        groups = -(-n_blocks // GROUP_BLOCKS) or 1
-        chunks = self.blocks.mapInArrow(_chunks(k), CHUNK)
-        number = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
-        left = self.blocks.select(number.alias("grp"), F.lit(0).alias("kind"), "block", "dim", "pivot", "dmin", "dmax", "nmax", "rows", "ids", F.lit(None).cast("binary").alias("least"), "mat")
-        right = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(1).alias("kind"), "block", "dim", F.lit(0).alias("pivot"), F.lit(0.0).alias("dmin"), F.lit(0.0).alias("dmax"), F.lit(0.0).alias("nmax"), "rows", "ids", "least", "mat")
-        met = left.unionByName(right).repartition(groups, "grp").sortWithinPartitions("grp", "kind", "block")
-        found = met.mapInArrow(_visit(pivots, k), FOUND)
+        """query_id, rank (from 1), vec_id, score of each query's ``k`` best others, ties to the smaller vec_id.
+
+        Queries with the same key and repeated vectors are rows of their own; a query without another
+        vector of its dimension gives no row.
+        """
+        home = self.home(k)
+        chunks = home.filter("chunk is not null")
+        none = lambda kind: F.lit(None).cast(kind)
+        left = self._grouped().select("grp", F.lit(0).alias("kind"), "block", "dim", "pivot", "dmin", "dmax", "nmax", "rows", "ids", none("binary").alias("least"), "mat")
+        right = self.visits(chunks).join(chunks.select("chunk", "dim", "rows", "ids", "least", "mat"), "chunk")
+        right = right.select("grp", F.lit(1).alias("kind"), F.col("chunk").alias("block"), "dim", none("int").alias("pivot"), *[none("double").alias(c) for c in ("dmin", "dmax", "nmax")], "rows", "ids", "least", "mat")
+        met = left.unionByName(right).repartition(F.col("grp")).sortWithinPartitions("grp", "kind", "block")
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        found = home.filter("chunk is null").select(*names).unionByName(met.mapInArrow(freeing(_visit(self.pivots, k)), FOUND))
         best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "cand")
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
 
-def _chunks(k: int):
-    """The queries of each block, with a score that each one's k-th best reaches at least."""
+def _home(pivots, k: int):
+    """Each group searched by its own queries."""
+    schema = _arrow(HOME)
+
+    def searched(blocks: list[dict]):
+        for b in blocks:
+            own = np.flatnonzero(np.frombuffer(b["queries"], bool))
+            if not len(own):
+                continue
+            q = {"dim": b["dim"], "rows": b["rows"][own], "ids": b["ids"][own], "mat": b["mat"][own], "least": np.full(len(own), np.iinfo(np.int64).min)}
+            found = _best(q, [x for x in blocks if x["dim"] == b["dim"]], pivots, k)
+            n = len(found[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found] + [pa.nulls(n, f.type) for f in list(schema)[5:]], schema=schema)
+            far = Index.distances(pivots, q["mat"])
+            yield pa.RecordBatch.from_pylist([{
+                "chunk": b["block"], "home": b["grp"], "dim": b["dim"], "low": far.min(0).tolist(), "high": far.max(0).tolist(), "norm": float((q["mat"].astype(float) ** 2).sum(1).max()),
+                "beat": int(q["least"].min()), **{c: q[c].tobytes() for c in ("rows", "ids", "least", "mat")},
+            }], schema=schema)
 
     def run(batches):
+        blocks = []
         for batch in batches:
-            for b in batch.to_pylist():
-                mat, rows, ids = (np.frombuffer(b[c], np.int64) for c in ("mat", "rows", "ids"))
-                mat, own = mat.reshape(len(rows), b["dim"]), np.flatnonzero(np.frombuffer(b["queries"], bool))
-                if len(own):
-                    least = np.full(len(own), np.iinfo(np.int64).min)
-                    if len(rows) > k:
-                        s = products(mat[own], mat)
-                        s[np.arange(len(own)), own] = np.iinfo(np.int64).min
-                        least = np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k]
-                    yield pa.RecordBatch.from_pylist([{"block": b["block"], "dim": b["dim"], "n": len(own), "rows": rows[own].tobytes(), "ids": ids[own].tobytes(), "least": least.tobytes(), "mat": mat[own].tobytes()}], schema=_arrow(CHUNK))
+            for i in range(batch.num_rows):
+                r = _opened(batch.slice(i, 1).to_pylist()[0])
+                if blocks and blocks[0]["grp"] != r["grp"]:
+                    yield from searched(blocks)
+                    blocks = []
+                blocks.append(r)
+        yield from searched(blocks)
 
     return run
 
 
+def _opened(r: dict) -> dict:
+    r["rows"], r["ids"] = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
+    r["mat"] = np.frombuffer(r["mat"], np.int64).reshape(len(r["rows"]), r["dim"])
+    return r
+
+
 def _visit(pivots, k: int):
     """Streams query chunks past the blocks of a group, which come first."""
 
@@ -188,11 +240,9 @@ def _visit(pivots, k: int):
         group, blocks = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
+                r = _opened(batch.slice(i, 1).to_pylist()[0])
                 if r["grp"] != group:
                     group, blocks = r["grp"], []
-                r["rows"], r["ids"] = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
-                r["mat"] = np.frombuffer(r["mat"], np.int64).reshape(len(r["rows"]), r["dim"])
                 if r["kind"] == 0:
                     blocks.append(r)
                     continue

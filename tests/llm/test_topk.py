@@ -22,19 +22,31 @@ def brute(rows, k, is_query):
     return sorted(out)
 
 
-def found(spark, rows, k=5, every=4):
+def found(spark, rows, k=5, every=4, **more):
     df = spark.createDataFrame([(i, v, "r", 9) for i, v in rows], SCHEMA).repartition(3)
-    return sorted(map(tuple, topk.Index.build(df, F.col("vec_id") % every == 0).search(k).collect()))
+    return sorted(map(tuple, topk.Index.build(df, F.col("vec_id") % every == 0, **more).search(k).collect()))
 
 
 @pytest.mark.parametrize("spread", [0.05, 1.0, 3e6])
-def test_random_vectors(spark, monkeypatch, spread):
-    monkeypatch.setattr(topk, "BLOCK", 16)
-    monkeypatch.setattr(topk, "GROUP_BLOCKS", 3)
+def test_random_vectors(spark, spread):
     draw = random.Random(1)
     centres = [[draw.gauss(0, spread) for _ in range(6)] for _ in range(5)]
     rows = [(i, [c + draw.gauss(0, spread / 20) for c in draw.choice(centres)]) for i in range(300)]
-    assert found(spark, rows) == brute(rows, 5, lambda i: i % 4 == 0)
+    assert found(spark, rows, block=16, group_blocks=3) == brute(rows, 5, lambda i: i % 4 == 0)
+
+
+def test_few_chunks_travel(spark):
+    """Of clustered vectors, headers keep most chunks from most groups before anything is shuffled."""
+    draw = random.Random(2)
+    centres = [[draw.gauss(0, 30) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + draw.gauss(0, 0.2) for c in centres[i % 12]]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    index = topk.Index.build(df, F.col("vec_id") % 4 == 0, block=40, group_blocks=2)
+    chunks = index.home(5).filter("chunk is not null")
+    groups = index._grouped().select("grp").distinct().count()
+    assert index.visits(chunks).count() < 0.5 * chunks.count() * (groups - 1)
+    got = sorted(map(tuple, index.search(5).collect()))
+    assert got == brute(rows, 5, lambda i: i % 4 == 0)
 
 
 def test_ties_repeats_nulls_and_other_lengths(spark):
