@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.rank import ranked
 from . import bpe, chat, jaccard, language, mixing, quality, secrets, token_files, topk, url_filter
-from .shared import shared_folder, table
+from .shared import scratch, table
 
 #: Host and path rules of op8.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -17,9 +17,8 @@ URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "b
 
 def source_weights(docs: DataFrame) -> DataFrame:
     """Sources by code point, null last, weigh 5, 2, 1, repeating.  One row for each source."""
-    names = docs.select("source").distinct()
-    place = F.expr("(row_number() over (order by source asc nulls last) - 1) % 3")
-    return names.select("source", F.element_at(F.array(F.lit(5), F.lit(2), F.lit(1)), place.cast("int") + 1).alias("weight"))
+    names = ranked(docs.select("source").distinct(), [F.col("source").asc_nulls_last()], "place")
+    return names.select("source", F.element_at(F.array(F.lit(5), F.lit(2), F.lit(1)), (F.col("place") % 3).cast("int") + 1).alias("weight"))
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,7 +28,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    path = f"{scratch(spark, 'token-files')}/ids"
     token_files.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
     return token_files.read_ids(spark, path).withColumnRenamed("key", "doc_id")
 
@@ -40,7 +39,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    clean = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("key"))
+    return quality.judge(table(spark, sf_dir, "documents"), clean).withColumnRenamed("key", "doc_id")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +76,10 @@ CONTROL = r"\### Assistant: </turn> ok"
 
 
 def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark).rstrip('/')}/chat-{uuid.uuid4().hex}"
+    path = scratch(spark, "chat")
     own = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    chat.write_tree(turns.unionByName(own), path)
+    chat.write_tree(turns.unionByName(own), path, tokenizer_path("byte_bpe_50k.json"))
     return chat.read_tree(spark, path)
 
 
