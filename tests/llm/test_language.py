@@ -59,3 +59,30 @@ def test_odd_rows_and_nothing(spark, odd, empty):
     rows = {(r["key"], r["lang_pred"] == "und", r["score"] == 0) for r in language.identify(odd, own).collect()}
     assert {k for k, und, zero in rows if und and zero} == {2, 3, 4, -9}
     assert language.identify(empty, own).count() == 0
+
+
+def test_positions_equal_a_plain_recurrence():
+    """Every byte's probabilities against one state at a time, without batches or steps in place."""
+    network = language.Network(["a", "b", "c"], hidden=3, seed=5)
+    w = {k: v.astype(float) for k, v in network.w.items()}
+    windows = np.random.default_rng(1).integers(32, 127, (4, 9)).astype(np.uint8)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(direction, row):
+        h, out = np.zeros(3), {}
+        for t in range(len(row)) if direction == "f" else reversed(range(len(row))):
+            e = w["E" + direction][row[t]]
+            r = sigmoid(e[:3] + h @ w["U" + direction][:, :3])
+            z = sigmoid(e[3:6] + h @ w["U" + direction][:, 3:])
+            c = np.tanh(e[6:] + (r * h) @ w["V" + direction])
+            h = z * h + (1 - z) * c
+            out[t] = h
+        return out
+
+    sums = network.pooled(windows)
+    for i, row in enumerate(windows):
+        ahead, back, total = states("f", row), states("b", row), np.zeros(3)
+        for t in range(len(row)):
+            p = np.exp(np.concatenate([ahead[t], back[t]]) @ w["O"] + w["c"])
+            total += p / p.sum()
+        assert np.allclose(sums[i], total, atol=1e-4)
