@@ -130,10 +130,12 @@ def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_pydict({"key": [k] * len(found), "row": [row] * len(found), "leaf": range(len(found)), "text": found}, schema=pa.schema([("key", pa.int64()), ("row", pa.int64()), ("leaf", pa.int64()), ("text", pa.string())]))
 
     def encode(batches):
-        own = Encoder(tokenizer_path)
+        pieces = Pieces(tokenizer_path, True)
         for batch in batches:
             for part in pieces_of(batch, 16):
-                out = [{"key": r["key"], "row": r["row"], "leaf": r["leaf"], "windows": 0, "ids": id_bytes(own.plain(r["text"]))} for r in part.to_pylist()]
+                rows = part.to_pylist()
+                found = pieces.values([r["text"] for r in rows])
+                out = [{"key": r["key"], "row": r["row"], "leaf": r["leaf"], "windows": 0, "ids": b"".join(x)} for r, x in zip(rows, found)]
                 yield pa.RecordBatch.from_pylist(out, schema=_CODED)
 
     def joined(table: pa.Table) -> pa.Table:

@@ -14,7 +14,7 @@ import sys
 from array import array
 
 #: Bytes of a generation of a task's memory, unless given; there are two generations of pieces and two of parts.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 #: Bytes that a dict entry, a short str and a bytes object take besides their contents.
 ENTRY_BYTES = 190
 #: Text whose spaces are only these four is cut at them; any other is encoded whole.
