@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import freeing, kept_for_a_task, pieces_of, stored
+from .shared import freeing, kept_for_a_task, pieces_of, small, stored
 
 SKETCH, CHUNKS = 1 << 20, 16
 SMALL, PIVOTS, WIDE = 24, 4, 2048
@@ -154,7 +154,6 @@ class Join:
         """The rows (key, n, class) and the regions of the first round."""
         first = stored(self.docs.mapInArrow(freeing(_first(self.width)), CLASSES), "jaccard-classes")
         rows = first.filter("kind = 0").select("key", "n", "class")
-        self.bits = first.filter("bits is not null").groupBy("class").agg(F.first("bits").alias("bits"), F.first("n").alias("n"))
         order = self.spark.sparkContext.broadcast(_order(first.filter("kind = 1").select("chunk", "counts")))
         seeds = self.docs.mapInArrow(freeing(_prefixes(self.width, self.percent, order)), "token long, class binary, n long")
         seeds = seeds.repartition(F.col("token")).groupBy("token", "class").agg(F.first("n").alias("n"))
@@ -167,7 +166,10 @@ class Join:
         seeds = stored(seeds.select(F.xxhash64("token", "band").alias("region"), "class", "n", "native", "size", "same0", "same1"), "jaccard-seeds")
         order.destroy()
         one = seeds.groupBy("same0", "same1", "size").agg(F.min("region").alias("region")).select("region")
-        return rows, stored(seeds.drop("same0", "same1").join(one, "region", "left_semi"), "jaccard-regions")
+        regions = stored(seeds.drop("same0", "same1").join(one, "region", "left_semi"), "jaccard-regions")
+        bits = first.filter("bits is not null").select("class", "bits", "n").join(regions.select("class").distinct(), "class", "left_semi")
+        self.bits = stored(bits.groupBy("class").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), "jaccard-bits")
+        return rows, regions
 
     def _linked(self, regions: DataFrame, every: bool = False) -> DataFrame:
         """(class, label) of all classes with a link to another, or with ``every`` all links (a, b)."""
@@ -176,9 +178,10 @@ class Join:
         links, leaves, round_, before = None, [], 0, regions.count()
         while True:
             wide = stored(self._elected(regions, round_), "jaccard-pivots")
-            pairs = wide.filter("class <> pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-            known = stored(self._distances(self._close(pairs), sets), "jaccard-distances")
-            new = known.filter("linked").select("a", "b")
+            pairs = wide.filter("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+            pivots = stored(wide.select(F.col("pivot").alias("class")).distinct(), "jaccard-elected")
+            known = stored(self._distances(self._close(pairs, pivots), sets, pivots), "jaccard-distances")
+            new = known.filter("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             links = new if links is None else links.unionByName(new)
             labels = None if every else components(links)
             parts = self._open(self._cells(wide, known), labels)
@@ -236,6 +239,8 @@ class Join:
         x, y = (blocks.select("region", *[F.col(c).alias(f"{c}_{i}") for c in ("block", "low", "high", "label", "native")]) for i in "xy")
         reach = F.lit(self.reach + 1e-9)
         met = x.join(y, "region").filter("block_x <= block_y and (native_x or native_y) and not (label_x <=> label_y and label_x is not null)")
+        # the screen has looked inside each block already
+        met = met if sets is not None else met.filter("block_x < block_y")
         met = met.filter((F.col("low_y") - F.col("high_x") <= reach) & (F.col("low_x") - F.col("high_y") <= reach))
         met = met.select("region", "block_x", "block_y")
         for i in "xy":
@@ -244,10 +249,10 @@ class Join:
         links = links.unionByName(met.mapInArrow(freeing(_meet(*how)), out))
         return links.select("a", "b") if sets is not None else links.select("region", F.col("a").alias("class"))
 
-    def _close(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that bitmaps cannot part by 3 r."""
+    def _close(self, pairs: DataFrame, pivots: DataFrame) -> DataFrame:
+        """The pairs (a class, b pivot) that bitmaps cannot part by 3 r."""
         one = self.bits.select(F.col("class").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m"))
-        two = self.bits.select(F.col("class").alias("b"), F.col("bits").alias("y"), F.col("n"))
+        two = self.bits.join(small(pivots), "class", "left_semi").select(F.col("class").alias("b"), F.col("bits").alias("y"), F.col("n"))
         held = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n")
         return held.mapInArrow(freeing(_apart(3 * self.reach)), "a binary, b binary")
 
@@ -262,16 +267,15 @@ class Join:
         held = self.docs.mapInArrow(freeing(_classes(self.width, mask)), "class binary, shingles binary")
         return stored(held.join(needed, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
 
-    def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """a, b, d (Jaccard distance) and whether they are linked, decided in whole numbers."""
+    def _distances(self, pairs: DataFrame, sets: DataFrame, pivots: DataFrame) -> DataFrame:
+        """a, b (a pivot), d (Jaccard distance) and whether they are linked, decided in whole numbers."""
         one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-        two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+        two = sets.join(small(pivots), "class", "left_semi").select(F.col("class").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(freeing(_compare(self.percent)), "a binary, b binary, d double, linked boolean")
 
     def _cells(self, wide: DataFrame, known: DataFrame) -> DataFrame:
         """The Voronoi cells and the voids of all regions, with their visitors and without pivots."""
-        both = known.select("a", "b", "d").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-        both = both.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "d")
+        both = known.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "d")
         far = wide.join(both, ["class", "pivot"], "left").withColumn("d", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("d")))
         far = far.withColumn("near", F.min(F.when(F.col("d").isNotNull(), F.struct("d", "pivot"))).over(Window.partitionBy("region", "class")))
         far = far.withColumn("inside", F.coalesce(F.col("near.d") <= 2 * self.reach - 1e-9, F.lit(False)))
@@ -500,8 +504,14 @@ def near_pairs(x: Block, y: Block, percent: int, p: np.ndarray | None, q: np.nda
 
 
 def near(x: Block, y: Block, percent: int) -> list[bytes]:
-    """Members with another one near."""
-    return list({c for a, b in near_pairs(x, y, percent, None, None) for c in (*(x.classes[k] for k in a), *(y.classes[k] for k in b))})
+    """Members with another one near; those marked by a null label are known to have one and are left out."""
+    p, q = (np.array([z is None for z in b.labels]) for b in (x, y))
+    # places with p and q equal are left out: 1 and 1 where both are marked, never 0 and 2 or 1 and 2 or 0 and 1
+    found = set()
+    for a, b in near_pairs(x, y, percent, np.where(p, 1, 0), np.where(q, 1, 2)):
+        found.update(x.classes[k] for k in a if not p[k])
+        found.update(y.classes[k] for k in b if not q[k])
+    return list(found)
 
 
 def joined(x: Block, y: Block, percent: int, every: bool = False) -> list[tuple[bytes, bytes]]:
@@ -556,9 +566,17 @@ def _cut(percent: int, every: bool, with_sets: bool, block: int, block_bytes: in
                 if with_sets:
                     return [{"a": a, "b": b, "region": region} for a, b in joined(own, own, percent, every)]
                 return [{"a": c, "region": region} for c in near(own, own, percent)]
+            out = []
+            if not with_sets:
+                own = Block(rows, with_sets)
+                known = set(near(own, own, percent))
+                out = [{"a": c, "region": rows[0]["region"]} for c in known]
+                rows = [r | {"label": None if r["class"] in known else r["class"]} for r in rows]
             number += 1
             one = rows[0]["label"] if len({r["label"] for r in rows}) == 1 else None
-            return [{"region": rows[0]["region"], "block": (part << 32) + number, "low": rows[0]["d"], "high": rows[-1]["d"], "label": one, "native": any(r["native"] for r in rows), "rows": _packed(rows)}]
+            if not with_sets:
+                one = b"" if all(r["label"] is None for r in rows) else None
+            return out + [{"region": rows[0]["region"], "block": (part << 32) + number, "low": rows[0]["d"], "high": rows[-1]["d"], "label": one, "native": any(r["native"] for r in rows), "rows": _packed(rows)}]
 
         for batch in batches:
             for piece in pieces_of(batch):
