@@ -12,7 +12,7 @@ from . import bpe, chat, jaccard, language, mixing, quality, secrets, token_file
 from .shared import scratch, table
 
 #: Host and path rules of op8.
-URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
 def source_weights(docs: DataFrame) -> DataFrame:
