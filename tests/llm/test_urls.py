@@ -103,6 +103,25 @@ def test_scores_are_log_ratios(spark):
         assert got[url] == pytest.approx(sum(ratios) / len(ratios), abs=1e-9)
 
 
+def test_every_context_counts(spark):
+    """More contexts than the model once kept: scores are those of all of them, the rarest included, whatever is broadcast."""
+    code = lambda i: "".join(chr(97 + (i * 7919 + i * i * 31) // 26**k % 26) for k in range(5))
+    urls = [f"x://{('good', 'bad')[i % 2]}/{code(i)}{code(i % 1900 + 5000)}/{i % 100}" for i in range(6000)]
+    rules = [("good/", "allow"), ("bad/", "block")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {hot: {r["url"]: (r["score"], r["verdict"]) for r in url_filter.filter_urls(df, rules, hot=hot).collect()} for hot in (0, 50, url_filter.HOT)}
+    assert got[0] == got[50] == got[url_filter.HOT]
+    training = {u for u in urls if zlib.crc32(u.encode()) % 2 == 0}
+    kinds = [[u for u in training if u.startswith(f"x://{k}/")] for k in ("good", "bad")]
+    both = Counter(s[i - n : i] for k in kinds for s in map(symbols, k) for i in range(ORDER, len(s)) for n in range(ORDER + 1))
+    assert sum(n >= LEAST_SEEN for n in both.values()) > 12_000
+    yes, no = model(*kinds), model(*kinds[::-1])
+    for url in urls[::7]:
+        s = symbols(url)
+        ratios = [math.log(yes(s[k - ORDER : k], s[k])) - math.log(no(s[k - ORDER : k], s[k])) for k in range(ORDER, len(s))]
+        assert got[50][url][0] == pytest.approx(sum(ratios) / len(ratios), abs=1e-9)
+
+
 def test_recalls_on_the_tables(spark):
     """Both kinds of rule-decided URLs are told apart in the half that did not train the models."""
     pages = spark.read.parquet(str(TESTDATA / "sf0.1" / "pages.parquet")).select("page_id", "url")
