@@ -6,29 +6,52 @@ an insert of any other key gets the next id, in the order of operations, counted
 same key gets a new id.
 
 Operations are in the order of seq; those of one seq by key, inserts first, and equal
-ones as they are stored.  Rows are numbered in that order and cut into slices of
-``SLICE`` positions: windows see one key in one slice, and what earlier slices left
-of a key is one row for each of its slices, so no key is folded in one piece,
-however much of the log it holds.
+ones are repeats.  Rows are numbered in that order.  A key of at most ``SLICE`` rows is
+folded in one window; other keys are cut into slices of ``SLICE`` positions: windows
+see one key in one slice, and what earlier slices left of a key is one row for each of
+its slices, so no key is folded in one piece, however much of the log it holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import as_bytes, looked_up
 from ..plans.rank import ranked, stored
 
 SLICE = 1 << 16
+#: Keys of more than SLICE rows that are broadcast.
+HOT_KEYS = 100_000
 
 
-def with_before(rows: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+def with_before(rows: DataFrame, slice_rows: int = SLICE, log: DataFrame | None = None) -> DataFrame:
     """Rows (at, key, op, ...) with ``before``, the key's last operation before each, and ``born``, where its latest allocating insert up to each row stands.
 
     ``first_op`` and nothing else stands before a key's first operation, if there is such a column.
+    ``log``: the same keys, if they are to be had without the work of ``rows``.
     """
     first = F.col("first_op") if "first_op" in rows.columns else F.lit(None).cast("string")
+    hot = (rows if log is None else log).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > int(slice_rows)).select("key")
+    hot = stored(hot, "mutable-hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return _before(rows, first)
+    hot = F.broadcast(hot) if n_hot <= HOT_KEYS else hot
+    whole = _before(rows.join(hot, "key", "left_anti"), first)
+    return whole.unionByName(_sliced(rows.join(hot, "key", "left_semi"), slice_rows, first))
+
+
+def _before(rows: DataFrame, first: Column) -> DataFrame:
+    """``with_before`` by one window for each key."""
+    own = Window.partitionBy("key").orderBy("at")
+    rows = rows.withColumn("before", F.coalesce(F.lag("op").over(own), first))
+    rows = rows.withColumn("alloc", (F.col("op") == "I") & (F.col("before").isNull() | (F.col("before") == "D")))
+    return rows.withColumn("born", F.max(F.when(F.col("alloc"), F.col("at"))).over(own))
+
+
+def _sliced(rows: DataFrame, slice_rows: int, first: Column) -> DataFrame:
+    """``with_before`` by one window for each key in each slice of positions."""
     rows = rows.withColumn("__slice", F.expr(f"at div {int(slice_rows)}"))
     own, later = Window.partitionBy("key", "__slice").orderBy("at"), Window.partitionBy("key").orderBy("__slice")
     ends = rows.groupBy("key", "__slice").agg(F.max_by("op", "at").alias("__end")).withColumn("__led", F.lag("__end").over(later)).drop("__end")
@@ -45,8 +68,8 @@ def with_before(rows: DataFrame, slice_rows: int = SLICE) -> DataFrame:
 def in_order(log: DataFrame, seq: str = "seq", key: str = "key", op: str = "op") -> DataFrame:
     """The log's usable rows (seq, key, op) with ``at``, their place in the order of operations."""
     rows = log.select(F.col(f"`{seq}`").alias("seq"), F.col(f"`{key}`").alias("key"), F.col(f"`{op}`").alias("op")).filter("key is not null and op in ('I', 'D')")
-    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "mutable-log")
-    return ranked(rows, [F.col("seq"), F.col("key"), F.col("op").desc(), F.col("__row")], "at").drop("__row")
+    # rows alike in all three are the same to every reader, so none need be told apart
+    return ranked(stored(rows, "mutable-log"), [F.col("seq"), F.col("key"), F.col("op").desc()], "at")
 
 
 class MutableIndex:

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a partition that is dealt: small tables make no task for a few rows, large ones none that sorts more than it can hold.
+LEAST_ROWS, MOST_ROWS = 1 << 16, 1 << 20
 #: Used only by local masters where the session names no shared folder, as in tests.
 LOCAL_FOLDER = "file:///tmp/checkpoints/keystrata"
 
@@ -64,15 +66,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: the session's number, fewer if they would hold less than ``LEAST_ROWS``, more if above ``MOST_ROWS``."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(parts, -(-rows // LEAST_ROWS)), -(-rows // MOST_ROWS))
+
+
 def _starts(sizes: DataFrame) -> DataFrame:
     """(__part, __begins) of (__part, __n): the sum over all partitions before.  One row for each partition of a shuffle."""
     before = "coalesce(sum(__n) over (order by __part rows between unbounded preceding and 1 preceding), 0)"
     return sizes.groupBy("__part").agg(F.sum("__n").alias("__n")).selectExpr("__part", f"{before} as __begins")
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
-    """``df`` with the 0-based position of each row in the total order ``order``; a column of that name is replaced."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def ranked(df: DataFrame, order: list[Column], name: str = "pos", rows: int | None = None) -> DataFrame:
+    """``df`` with the 0-based position of each row in the total order ``order``; a column of that name is replaced.  ``rows``: how many there are, if counted before."""
+    parts = parts_for(df.sparkSession, df.count() if rows is None else rows)
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # partition << 33 | row of the partition
     dealt = stored(dealt.withColumn("__rank_at", F.monotonically_increasing_id()), "rank-parts")

@@ -14,7 +14,7 @@ one, whole, whenever the writer stops.  One writer at a time.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,6 +24,15 @@ from ..plans.rank import ranked, stored
 TIER = "key string, op string, id bigint, batch bigint"
 
 
+def _marked(place: str) -> Column:
+    """A number that sorts as ``place`` and tells ``op``: an aggregate of numbers is hashed, one of strings is sorted."""
+    return F.col(place) * 2 + (F.col("op") == "I").cast("int")
+
+
+def _op(marked: str) -> Column:
+    return F.when(F.col(marked) % 2 == 1, "I").otherwise("D")
+
+
 class MutableStream:
     """State of the store in ``path``; ``start`` feeds it from a streaming log (seq, key, op)."""
 
@@ -34,7 +43,7 @@ class MutableStream:
         try:
             return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
         except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))])
 
     def compacted_upto(self) -> int:
         """The last batch that the merged tier holds; -1 before the first compaction."""
@@ -48,7 +57,8 @@ class MutableStream:
         return later if upto < 0 else self._read("merged", TIER).filter(F.col("batch") == upto).unionByName(later)
 
     def _latest(self, tiers: DataFrame) -> DataFrame:
-        return tiers.groupBy("key").agg(F.max_by("op", "batch").alias("op"), F.max("id").alias("id"))
+        last = tiers.groupBy("key").agg(F.max(_marked("batch")).alias("__last"), F.max("id").alias("id"))
+        return last.select("key", _op("__last").alias("op"), "id")
 
     def state(self) -> DataFrame:
         """(key, id) of the live keys."""
@@ -64,17 +74,23 @@ class MutableStream:
         ends = log.agg(F.min("key").alias("low"), F.max("key").alias("high")).first()
         if ends["low"] is None:
             return
-        next_id = self._read("ids", "next_id bigint, batch bigint").filter(F.col("batch") < batch_id).agg(F.max("next_id")).first()[0] or 0
-        earlier = self.tiers().filter((F.col("batch") < batch_id) & F.col("key").between(ends["low"], ends["high"]))
-        known = self._latest(earlier.join(log.select("key").distinct(), "key", "left_semi"))
-        known = stored(known.select("key", F.col("op").alias("first_op"), F.col("id").alias("known_id")), "stream-known")
-        rows = stored(with_before(log.join(known, "key", "left")), "stream-rows")
-        given = ranked(rows.filter("alloc").select("key", "at"), [F.col("at")], "id")
-        last = rows.groupBy("key").agg(F.max_by("op", "at").alias("op"), F.max("known_id").alias("known_id"))
-        last = last.join(given.groupBy("key").agg((F.max("id") + next_id).alias("id")), "key", "left")
-        last = last.select("key", "op", F.coalesce("id", "known_id").alias("id"))
+        next_id = self._read("ids", "next_id bigint, batch bigint").filter(F.col("batch") < batch_id).agg(F.max("next_id")).first()[0]
+        if next_id is None:  # every batch that wrote a tier wrote its next id
+            next_id, rows = 0, log.withColumn("first_op", F.lit(None).cast("string")).withColumn("known_id", F.lit(None).cast("bigint"))
+        else:
+            earlier = self.tiers().filter((F.col("batch") < batch_id) & F.col("key").between(ends["low"], ends["high"]))
+            known = self._latest(earlier.join(log.select("key").distinct(), "key", "left_semi"))
+            rows = log.join(known.select("key", F.col("op").alias("first_op"), F.col("id").alias("known_id")), "key", "left")
+        rows = stored(with_before(rows, log=log).select("key", "op", "at", "known_id", "alloc"), "stream-rows")
+        allocs = rows.filter("alloc").select("key", "at")
+        n_given = allocs.count()
+        given = ranked(allocs, [F.col("at")], "id", n_given)
+        last = rows.select("key", _marked("at").alias("__last"), "known_id", F.lit(None).cast("bigint").alias("id"))
+        last = last.unionByName(given.select("key", F.lit(None).cast("bigint").alias("__last"), F.lit(None).cast("bigint").alias("known_id"), (F.col("id") + next_id).alias("id")))
+        last = last.groupBy("key").agg(F.max("__last").alias("__last"), F.max("known_id").alias("known_id"), F.max("id").alias("id"))
+        last = last.select("key", _op("__last").alias("op"), F.coalesce("id", "known_id").alias("id"))
         last.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.path}/tiers/batch={batch_id}")
-        upto = self.spark.range(1).select(F.lit(next_id + rows.filter("alloc").count()).cast("bigint").alias("next_id"))
+        upto = self.spark.range(1).select(F.lit(next_id + n_given).cast("bigint").alias("next_id"))
         upto.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ids/batch={batch_id}")
 
     def compact(self, upto: int) -> None:

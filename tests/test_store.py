@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.operators import hot
-from keystrata.operators.mutable import MutableIndex
+from keystrata.operators.mutable import MutableIndex, in_order, with_before
 from keystrata.streaming.mutable_stream import MutableStream, hot_counts
 
 
@@ -79,6 +79,18 @@ def test_one_key_holds_most_of_the_log(spark, slice_rows):
     assert {r["key"]: r["id"] for r in store.state().collect()} == live
 
 
+def test_keys_of_few_rows_are_folded_in_one_shuffle(spark):
+    """Slices are for keys of more rows than a slice only, and small logs are not dealt to many tasks."""
+    log = spark.createDataFrame([(i, f"k{i % 9}", "ID"[i % 2]) for i in range(90)], "seq bigint, key string, op string").repartition(3)
+    ordered = in_order(log)
+    assert len(ordered.inputFiles()) == 1
+    plan = with_before(ordered)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1
+    mixed = log.withColumn("key", F.when(F.col("seq") > 40, "k1").otherwise(F.col("key")))
+    got = {n: sorted(with_before(in_order(mixed), n).select("at", "key", "op", "before", "alloc", "born").collect()) for n in (7, 1000)}
+    assert len(got[7]) == 90 and got[7] == got[1000]
+
+
 def test_operations_of_one_seq(spark):
     """Neither lost nor multiplied: by key, inserts first, equal ones as repeats."""
     rows = [(0, "b", "I"), (0, "a", "I"), (0, "a", "I"), (1, "a", "D"), (1, "a", "I"), (2, "a", "I")]
