@@ -12,7 +12,7 @@ from .operators.hashed import HashedIndex
 from .operators.mutable import MutableIndex
 from .operators.ordered import OrderedIndex
 from .operators.static import IndexConfig, StaticIndex
-from .plans.rank import ranked, scratch
+from .plans.rank import distinct_keys, ranked, scratch
 from .streaming.mutable_stream import MutableStream
 
 
@@ -185,8 +185,8 @@ def ordered_stats(spark, sf_dir):
 
 
 def _bumpy(spark, sf_dir) -> OrderedIndex:
-    keys = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("key")).distinct()
-    return OrderedIndex.build(keys)
+    keys = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("key"))
+    return OrderedIndex.build(distinct_keys(keys))
 
 
 @register("SELECT count(DISTINCT l_orderkey * 100000 + l_partkey) AS keys, true AS chained, true AS within FROM lineitem")

@@ -14,6 +14,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.rank import dealt, stored
+
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
 
@@ -98,16 +100,18 @@ def looked_up(probes: DataFrame, table: DataFrame, key: str, value: str, name: s
 
 
 def validated(keys: DataFrame, key: str = "key", strict: bool = False) -> DataFrame:
-    """``keys`` if every key is there once and none is null, else an error.
+    """``keys``, stored, if every key is there once and none is null, else an error.
 
-    Two small jobs, each stopping at the first row that breaks the rule.
+    Keys are counted in tasks of a bounded number of rows.
     ``strict`` refuses an empty table as well.
     """
-    if not keys.filter(F.col(key).isNull()).isEmpty():
+    keys = stored(keys, "index-keys")
+    rows, held = keys.agg(F.count("*"), F.count(key)).first()
+    if held < rows:
         raise NullKeyError(f"null in {key}")
-    found = duplicates(keys, key).limit(1).collect()
+    found = duplicates(dealt(keys.select(key), key, rows), key).agg(F.min(F.struct(key, "n")).alias("least")).first()["least"]
     if found:
-        raise DuplicateKeyError(f"{found[0][key]!r} occurs {found[0]['n']} times")
-    if strict and keys.isEmpty():
+        raise DuplicateKeyError(f"{found[key]!r} occurs {found['n']} times")
+    if strict and not rows:
         raise EmptyKeysError("no keys")
     return keys

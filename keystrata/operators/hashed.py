@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import HashCollisionError, as_bytes, duplicates, looked_up, validated
-from ..plans.rank import stored
+from ..plans.rank import dealt, stored
 from ..sources import store
 
 #: Segments of up to so many keys count as linear, then as chd, beyond as mph.
@@ -40,11 +40,11 @@ class HashedIndex:
         DuplicateKeyError or NullKeyError if keys are not unique, HashCollisionError if their hashes are not.
         """
         rows = keys.select(F.col(f"`{key}`").alias("key"), F.col(f"`{pos}`").cast("bigint").alias("pos"))
-        validated(rows, "key", strict)
+        rows = validated(rows, "key", strict)
         table = stored(rows.select(hashed(F.col("key"), dict(rows.dtypes)["key"], hash).alias("h"), "key", "pos"), "hashed-index")
-        found = duplicates(table, "h").limit(1).collect()
+        found = duplicates(dealt(table.select("h"), "h", table.count()), "h").agg(F.min(F.struct("h", "n")).alias("least")).first()["least"]
         if found:
-            raise HashCollisionError(f"{found[0]['n']} keys have the hash {found[0]['h']}")
+            raise HashCollisionError(f"{found['n']} keys have the hash {found['h']}")
         return cls(table, hash, linear, chd)
 
     def lookup(self, probes: DataFrame, key: str = "key", name: str = "pos") -> DataFrame:

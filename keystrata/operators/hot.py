@@ -62,7 +62,7 @@ class HotTier:
     def of(cls, keys: DataFrame, key: str = "key", id: str = "id") -> HotTier:
         """The tier of rows (key, id); DuplicateKeyError or NullKeyError if keys are not unique."""
         rows = keys.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id}`").cast("bigint").alias("id"))
-        return cls(stored(validated(rows), "hot-tier"))
+        return cls(validated(rows))
 
     @classmethod
     def hottest(cls, observed: DataFrame, k: int, key: str = "key") -> HotTier:

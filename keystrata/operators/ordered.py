@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import LONG_MIN, flipped, looked_up, validated, wide_from_hex
-from ..plans.rank import bounds, ranked, stored
+from ..plans.rank import bounds, parts_for, ranked, stored
 from ..sources import store
 
 SEGMENTS = "first_pos long, n long, slope double, intercept double, max_error long, key_from long, key_to long"
@@ -106,8 +106,9 @@ class OrderedIndex:
         over its batches, so only partitions cut segments.  Errors are rounded up: every key lies
         within ``max_error`` of its predicted position, ``first_pos + intercept + slope * (key - key_from)``.
         """
-        rows = self.table.select(F.col("ord").cast("bigint").alias("key"), "pos").repartitionByRange("key").sortWithinPartitions("key")
-        return rows.mapInPandas(_segments(epsilon, outer, len(self) if outer != 1 else 0), SEGMENTS)
+        n = len(self)
+        rows = self.table.select(F.col("ord").cast("bigint").alias("key"), "pos").repartitionByRange(parts_for(self.table.sparkSession, n), "key").sortWithinPartitions("key")
+        return rows.mapInPandas(_segments(epsilon, outer, n if outer != 1 else 0), SEGMENTS)
 
     def segment_stats(self, epsilon: int = 64) -> DataFrame:
         """One row: segments, keys, mean keys in a segment, the greatest error and the bytes of the model."""

@@ -72,6 +72,16 @@ def parts_for(spark: SparkSession, rows: int) -> int:
     return max(1, min(parts, -(-rows // LEAST_ROWS)), -(-rows // MOST_ROWS))
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` of so many rows dealt by ``key`` for aggregates by it, so that no task's hash table grows with the input."""
+    return df.repartition(parts_for(df.sparkSession, rows), F.col(key))
+
+
+def distinct_keys(df: DataFrame, key: str = "key") -> DataFrame:
+    """The different rows of ``df``, which has few rows for each ``key``."""
+    return dealt(df, key, df.count()).distinct()
+
+
 def _starts(sizes: DataFrame) -> DataFrame:
     """(__part, __begins) of (__part, __n): the sum over all partitions before.  One row for each partition of a shuffle."""
     before = "coalesce(sum(__n) over (order by __part rows between unbounded preceding and 1 preceding), 0)"
@@ -81,12 +91,12 @@ def _starts(sizes: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, order: list[Column], name: str = "pos", rows: int | None = None) -> DataFrame:
     """``df`` with the 0-based position of each row in the total order ``order``; a column of that name is replaced.  ``rows``: how many there are, if counted before."""
     parts = parts_for(df.sparkSession, df.count() if rows is None else rows)
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # partition << 33 | row of the partition
-    dealt = stored(dealt.withColumn("__rank_at", F.monotonically_increasing_id()), "rank-parts")
+    numbered = stored(numbered.withColumn("__rank_at", F.monotonically_increasing_id()), "rank-parts")
     part, inside = F.shiftright("__rank_at", 33), F.col("__rank_at").bitwiseAND((1 << 33) - 1)
-    starts = _starts(dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")))
-    out = dealt.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    starts = _starts(numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")))
+    out = numbered.withColumn("__part", part).join(F.broadcast(starts), "__part")
     return out.withColumn(name, (F.col("__begins") + inside).cast("long")).drop("__part", "__rank_at", "__begins")
 
 

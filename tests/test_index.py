@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.functions.keys import CorruptDataError, DuplicateKeyError, HashCollisionError, EmptyKeysError, NullKeyError, unsigned, wide
+from keystrata.functions.keys import CorruptDataError, DuplicateKeyError, HashCollisionError, EmptyKeysError, NullKeyError, unsigned, wide, duplicates
 from keystrata.operators import codec
 from keystrata.operators.hashed import HashedIndex
 from keystrata.operators.ordered import SEGMENT_BYTES, OrderedIndex, tuned_epsilon
 from keystrata.operators.static import StaticIndex
+from keystrata.plans import rank
 
 
 def longs(spark, values, name="key"):
@@ -166,6 +167,18 @@ def test_segments_run_over_arrow_batches(spark):
     assert index.segments(16).count() <= parts
 
 
+def test_tasks_of_a_build_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """However many keys: more of them make more partitions, not larger ones, and hash tables do not gather coalesced ones."""
+    monkeypatch.setattr(rank, "MOST_ROWS", 100)
+    most = lambda df, n=F.lit(1): df.groupBy(F.spark_partition_id()).agg(F.sum(n).alias("n")).agg(F.max("n")).first()[0]
+    keys = rank.distinct_keys(spaced(spark, 1000).union(spaced(spark, 1000)))
+    assert keys.count() == 1000 and most(keys) < 300
+    index = OrderedIndex.build(keys)
+    assert index.table.count() == 1000 and most(index.segments(16), F.col("n")) < 300
+    plan = duplicates(rank.dealt(index.table.select("key"), "key", 1000))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(key" in plan
+
+
 def test_segments_of_far_keys(spark):
     """Keys beyond 2 ** 53 keep their last digits, and spans beyond 2 ** 63 do not wrap."""
     keys = [-(1 << 63), -(1 << 63) + 1, (1 << 53) + 1, (1 << 63) - 2, (1 << 63) - 1]
