@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a partition that is dealt: small tables make no task for a few rows, large ones none that sorts more than it can hold.
 LEAST_ROWS, MOST_ROWS = 1 << 16, 1 << 20
+#: Tasks that share the rows of one value.
+SALTS = 64
 #: Used only by local masters where the session names no shared folder, as in tests.
 LOCAL_FOLDER = "file:///tmp/checkpoints/keystrata"
 
@@ -82,6 +84,15 @@ def distinct_keys(df: DataFrame, key: str = "key") -> DataFrame:
     return dealt(df, key, df.count()).distinct()
 
 
+def _once(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The different values of ``key``, the only column.  One that many rows hold goes to ``SALTS`` tasks first, so that none reads them all."""
+    parts = parts_for(df.sparkSession, rows)
+    if parts == 1:
+        return df.distinct()
+    salted = df.withColumn("__salt", F.monotonically_increasing_id() % SALTS)
+    return dealt(salted.repartition(parts, key, "__salt").distinct().drop("__salt"), key, rows).distinct()
+
+
 def _starts(sizes: DataFrame) -> DataFrame:
     """(__part, __begins) of (__part, __n): the sum over all partitions before.  One row for each partition of a shuffle."""
     before = "coalesce(sum(__n) over (order by __part rows between unbounded preceding and 1 preceding), 0)"
@@ -124,9 +135,10 @@ def bounds(keys: DataFrame, probes: DataFrame, ordered=None, upper: bool = False
     place = ordered or (lambda c: c)
     kind = keys.schema[key].dataType
     marks = keys.select(F.lit(1).alias("__is_key"), F.col(f"`{key}`").alias("__probe"))
-    asked = probes.select(F.lit(0).alias("__is_key"), F.col(f"`{key}`").cast(kind).alias("__probe")).filter("__probe is not null").distinct()
+    n_probes = probes.count()
+    asked = _once(probes.select(F.col(f"`{key}`").cast(kind).alias("__probe")).filter("__probe is not null"), "__probe", n_probes).select(F.lit(0).alias("__is_key"), "__probe")
     order = [place(F.col("__probe")).asc(), F.col("__is_key").desc() if upper else F.col("__is_key").asc()]
-    parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(probes.sparkSession, keys.count() + n_probes)
     both = marks.unionByName(asked).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kind = both.schema["__probe"].dataType.simpleString()
     counted = stored(both.mapInArrow(_counted, f"__part long, __probe {kind}, __upto long, __n long"), "bounds")

@@ -179,6 +179,17 @@ def test_tasks_of_a_build_hold_a_bounded_number_of_rows(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "hashpartitioning(key" in plan
 
 
+def test_probes_are_told_apart_in_bounded_tasks(spark, monkeypatch):
+    """Also if most rows ask for one probe."""
+    monkeypatch.setattr(rank, "MOST_ROWS", 100)
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    probes = spaced(spark, 1000, 7).union(spark.range(1000).select(F.lit(14)))
+    once = rank._once(probes, "key", 2000)
+    assert once.count() == 1000 and most(once) < 300
+    found = rank.bounds(spaced(spark, 500, 14), probes)
+    assert found.count() == 2000 and found.filter(F.col("bound") != F.least(F.lit(500), F.ceil(F.col("key") / 14))).isEmpty()
+
+
 def test_segments_of_far_keys(spark):
     """Keys beyond 2 ** 53 keep their last digits, and spans beyond 2 ** 63 do not wrap."""
     keys = [-(1 << 63), -(1 << 63) + 1, (1 << 53) + 1, (1 << 63) - 2, (1 << 63) - 1]
