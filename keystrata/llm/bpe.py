@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import freeing, pieces_of, stored
-from .tokenizing import Bytes, Pieces, id_bytes, tokenizer
+from .tokenizing import Bytes, Pieces, byte_tokens, id_bytes, tokenizer
 
 LONG_CHARS = 1 << 15
 LEAF_CHARS = 1 << 13
@@ -48,7 +49,7 @@ class Encoder:
     """The library's plain encoding, and joins of its results."""
 
     def __init__(self, path: str):
-        self.own, self.bytes = tokenizer(path), Bytes(path)
+        self.own, self.bytes = tokenizer(path), byte_tokens(path)
         #: Windows encoded so far.
         self.windows = 0
 
@@ -93,7 +94,11 @@ _CODED = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("leaf", pa.int64(
 
 def _numbers(ids: bytes) -> list[int]:
     """Ids written by id_bytes."""
-    return memoryview(ids).cast("I").tolist() if len(ids) else []
+    return _array(ids).tolist()
+
+
+def _array(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u4")
 
 
 def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", ids: bool = True, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS, fan: int = FAN) -> DataFrame:
@@ -107,20 +112,22 @@ def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
-    def finished(own: Bytes, names: list[str], k: int, found: list[int], windows: int) -> dict:
-        return {
-            "key": k, "n_tokens": len(found), "ids": found if ids else None, "windows": windows,
-            "ids_sha256": hashlib.sha256(",".join(map(names.__getitem__, found)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(own.decode(found).encode()).hexdigest(),
-        }
+    def finished(own: Bytes, keys: list[int | None], found: list[np.ndarray], windows: list[int]) -> pa.RecordBatch:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        lists = pa.nulls(len(found), pa.list_(pa.int32()))
+        if ids:
+            starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(found).view(np.int32)))
+        digests = [hashlib.sha256(own.decimal(x)).hexdigest() for x in found], [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in found]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes), lists, *(pa.array(x, pa.string()) for x in digests), pa.array(windows, pa.int64())], schema=_OUT)
 
     def short(batches):
-        own, pieces = Bytes(tokenizer_path), Pieces(tokenizer_path, True)
-        names = list(map(str, range(len(own.of))))
+        own, pieces = byte_tokens(tokenizer_path), Pieces(tokenizer_path, True)
         for batch in batches:
             for part in pieces_of(batch, 64):
                 data = part.to_pydict()
-                out = [finished(own, names, k, _numbers(b"".join(found)), 0) for k, found in zip(data["key"], pieces.values(data["text"]))]
-                yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+                found = [_array(b"".join(x)) for x in pieces.values(data["text"])]
+                yield finished(own, data["key"], found, [0] * len(found))
 
     def cut(batches):
         for batch in batches:
@@ -145,12 +152,11 @@ def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         return pa.Table.from_pylist([out], schema=_CODED)
 
     def root(batches):
-        own = Bytes(tokenizer_path)
-        names = list(map(str, range(len(own.of))))
+        own = byte_tokens(tokenizer_path)
         for batch in batches:
             for part in pieces_of(batch, 1):
                 r = part.to_pylist()[0]
-                yield pa.RecordBatch.from_pylist([finished(own, names, r["key"], _numbers(r["ids"]), r["windows"])], schema=_OUT)
+                yield finished(own, [r["key"]], [_array(r["ids"])], [r["windows"]])
 
     is_long = F.length("text") > long_chars
     dealt = rows.filter(is_long).select("key", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(cut, LEAF)

@@ -13,7 +13,9 @@ import re
 import sys
 from array import array
 
-#: Bytes of a generation of a task's memory, unless given; there are two generations of pieces and two of parts.
+import numpy as np
+
+#: Bytes of a generation of a task's memory, unless given; there are two generations of pieces and two of symbols.
 CACHE_BYTES = 48 << 20
 #: Bytes that a dict entry, a short str and a bytes object take besides their contents.
 ENTRY_BYTES = 190
@@ -26,6 +28,8 @@ LATIN_END = "\u0100"
 SYMBOLS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Longer runs are not kept.
 MAX_PIECE = 64
+#: Ids that are turned into bytes at once.
+RUN = 1 << 16
 
 _loaded: dict = {}
 
@@ -98,14 +102,15 @@ class Pieces:
         self.model, self.letters = self.own.model, _byte_letters()
         self.pieces, self.parts = Memory(limit), Memory(limit)
 
+    def _known(self, piece: str) -> bytes:
+        return self.pieces.young.get(piece) or self._learn(piece)
+
     def _word(self, word: str) -> bytes:
         """The value of Latin-1 letters, for ``spaces`` perhaps after a space."""
-        value = self.parts.get(word)
-        if value is None:
-            shown = word.replace(" ", "\u0120")
-            value = id_bytes([t.id for t in self.model.tokenize(shown if word.isascii() else shown.translate(self.letters))])
-            self.parts.put(word, value)
-        return value
+        if not self.spaces and (lower := word.lower()) != word:
+            return self._known(lower)
+        shown = word.replace(" ", "\u0120")
+        return id_bytes([t.id for t in self.model.tokenize(shown if word.isascii() else shown.translate(self.letters))])
 
     def _whole(self, text: str) -> bytes:
         return id_bytes(self.own.encode(text, add_special_tokens=False).ids)
@@ -125,13 +130,12 @@ class Pieces:
             first = head[:1] if self.spaces and head[:1] in (" ", "\n") else ""
             word = head[1:] if first else head
             if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
-                if not self.spaces:
-                    word = word.lower()
-                value = self._word(" " + word if first == " " else word)
-                if first == "\n":
-                    value = self._symbols("\n") + value
                 if len(head) < len(piece):
-                    value += self._symbols(piece[len(head) :])
+                    value = self._known(head) + self._symbols(piece[len(head) :])
+                elif first == "\n":
+                    value = self._symbols("\n") + self._known(word)
+                else:
+                    value = self._word(head)
             else:
                 value = self._whole(piece)
         self.pieces.put(piece, value)
@@ -146,14 +150,16 @@ class Pieces:
                 continue
             runs = _RUNS.findall(text) if self.spaces else text.split()
             found = list(map(self.pieces.young.get, runs))
-            if None in found:
-                found = [self.pieces.young.get(x) or self._learn(x) if v is None else v for x, v in zip(runs, found)]
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self.pieces.young.get(runs[at]) or self._learn(runs[at])
             out.append(found)
         return out
 
 
 class Bytes:
-    """The bytes of each token of a byte-level vocabulary, by id."""
+    """The bytes and the decimal form of each token of a byte-level vocabulary, by id."""
 
     def __init__(self, path: str):
         plain = {c: b for b, c in _byte_alphabet().items()}
@@ -161,10 +167,37 @@ class Bytes:
         shown = [own.id_to_token(i) for i in range(own.get_vocab_size(with_added_tokens=True))]
         # a special token is written as it is
         self.of = [bytes(map(plain.__getitem__, s)) if s is not None and all(c in plain for c in s) else (s or "").encode() for s in shown]
-
-    def decode(self, ids: list[int]) -> str:
+        self.sizes = np.fromiter(map(len, self.of), np.int64, len(self.of))
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.of), np.uint8)
+        # padded by numpy with zero bytes to one size
+        self.names = np.array([b"%d," % i for i in range(len(self.of))])
+
+    def _raw(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        at = np.repeat(self.starts[ids] + sizes - np.cumsum(sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes()
+
+    def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        return b"".join(map(self.of.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self._raw, _runs(ids))).decode("utf-8", "replace")
+
+    def decimal(self, ids) -> bytes:
+        """The decimal ids joined by commas."""
+        return b"".join(self.names[x].tobytes().translate(None, b"\0") for x in _runs(ids))[:-1]
+
+
+def byte_tokens(path: str) -> Bytes:
+    """The ``Bytes`` of a file, made once in a worker."""
+    if (path, Bytes) not in _loaded:
+        _loaded[path, Bytes] = Bytes(path)
+    return _loaded[path, Bytes]
+
+
+def _runs(ids) -> list[np.ndarray]:
+    """Ids in runs of ``RUN``, so that arrays by the byte stay small."""
+    ids = np.asarray(ids, np.int64)
+    return [ids[at : at + RUN] for at in range(0, len(ids), RUN)]
 
 
 def id_bytes(ids: list[int]) -> bytes:

@@ -42,6 +42,21 @@ def test_bytes_decode_as_the_library():
         assert own.decode(ids) == tokenizer(BYTES).decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("n", [0, 1, 1000, (1 << 17) + 3])
+def test_decimal_ids_and_long_decoding(n):
+    own = Bytes(BYTES)
+    ids = np.random.default_rng(n).integers(0, len(own.of), n, dtype=np.uint32)
+    assert own.decimal(ids) == ",".join(map(str, ids.tolist())).encode()
+    assert own.decode(ids) == b"".join(own.of[i] for i in ids.tolist()).decode("utf-8", "replace")
+
+
+@pytest.mark.parametrize("path,spaces", [(WORDS, False), (BYTES, True)])
+def test_words_are_kept_once(path, spaces):
+    pieces, texts = Pieces(path, spaces), ["House, House. House\nHouse! caf\u00e9? caf\u00e9 caf\u00e9"]
+    assert [b"".join(v) for v in pieces.values(texts)] == [id_bytes(plain(path, t)) for t in texts]
+    assert not any(c.isalpha() for k in pieces.parts.young for c in k)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(bits, n):
