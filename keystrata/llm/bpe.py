@@ -163,5 +163,6 @@ def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     nodes = stored(dealt.repartition(F.col("row"), F.col("leaf")).mapInArrow(freeing(encode), CODED), "bpe-leaves")
     last = nodes.agg(F.max("leaf")).first()[0] or 0
     while last:
-        nodes, last = nodes.groupBy("row", F.expr(f"leaf div {int(fan)}")).applyInArrow(joined, CODED), last // fan
+        # stored, so that no task runs the join and the root in two workers: idle workers stay as long as an executor is busy
+        nodes, last = stored(nodes.groupBy("row", F.expr(f"leaf div {int(fan)}")).applyInArrow(joined, CODED), "bpe-nodes"), last // fan
     return rows.filter(~is_long).mapInArrow(freeing(short), OUT).unionByName(nodes.mapInArrow(freeing(root), OUT))

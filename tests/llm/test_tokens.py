@@ -106,6 +106,12 @@ def test_long_runs_are_joined_by_levels(spark):
         assert got[k]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_no_task_runs_the_join_and_the_root(spark, odd):
+    """Workers stay with a busy executor, so that no stage may start two for a task."""
+    plan = bpe.code(odd, BYTES, long_chars=50, leaf_chars=16)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+
+
 @pytest.mark.parametrize("long_chars,leaf", [(50, 16), (1 << 16, 1 << 14)])
 def test_code(odd, long_chars, leaf):
     got = sorted((r["key"] is None, r["key"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["ids"])) for r in bpe.code(odd, BYTES, long_chars=long_chars, leaf_chars=leaf).collect())
