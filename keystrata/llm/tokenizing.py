@@ -15,7 +15,7 @@ from array import array
 
 import numpy as np
 
-#: Bytes of a generation of a task's memory, unless given; there are two generations of pieces and two of symbols.
+#: Bytes of a generation of a task's memory, unless given; there are two generations of pieces and two of symbols and lower-case words.
 CACHE_BYTES = 48 << 20
 #: Bytes that a dict entry, a short str and a bytes object take besides their contents.
 ENTRY_BYTES = 190
@@ -107,11 +107,17 @@ class Pieces:
 
     def _word(self, word: str) -> bytes:
         """The value of Latin-1 letters, for ``spaces`` perhaps after a space."""
-        if not self.spaces and (lower := word.lower()) != word:
-            return self._known(lower)
         shown = word.replace(" ", "\u0120")
         return id_bytes([t.id for t in self.model.tokenize(shown if word.isascii() else shown.translate(self.letters))])
 
+    def _lower(self, word: str) -> bytes:
+        """The value of a lower-case word, which several pieces share."""
+        value = self.parts.get(word)
+        if value is None:
+            value = self._word(word)
+            self.parts.put(word, value)
+        return value
+
     def _whole(self, text: str) -> bytes:
         return id_bytes(self.own.encode(text, add_special_tokens=False).ids)
 
@@ -130,7 +136,11 @@ class Pieces:
             first = head[:1] if self.spaces and head[:1] in (" ", "\n") else ""
             word = head[1:] if first else head
             if word.isalpha() and (word.isascii() or max(word) < LATIN_END):
-                if len(head) < len(piece):
+                if not self.spaces:
+                    value = self._lower(word.lower())
+                    if len(head) < len(piece):
+                        value += self._symbols(piece[len(head) :])
+                elif len(head) < len(piece):
                     value = self._known(head) + self._symbols(piece[len(head) :])
                 elif first == "\n":
                     value = self._symbols("\n") + self._known(word)
