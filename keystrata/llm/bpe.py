@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import freeing, pieces_of, stored
+from .shared import freeing, pieces_of, small_batches, stored
 from .tokenizing import Bytes, Pieces, byte_tokens, id_bytes, tokenizer
 
 LONG_CHARS = 1 << 15
@@ -110,6 +110,7 @@ def code(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     nothing.  Rows of the same key are rows of their own; an empty table gives
     none; other columns are left out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
     def finished(own: Bytes, keys: list[int | None], found: list[np.ndarray], windows: list[int]) -> pa.RecordBatch:

@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import freeing, kept_for_a_task, pieces_of, small, stored
+from .shared import freeing, kept_for_a_task, pieces_of, small, small_batches, stored
 
 SKETCH, CHUNKS = 1 << 20, 16
 SMALL, PIVOTS, WIDE = 24, 4, 2048
@@ -122,6 +122,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text"):
         self.spark: SparkSession = docs.sparkSession
+        small_batches(self.spark)
         self.width, self.percent, self.reach = width, percent, 1 - percent / 100
         self.docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import freeing, pieces_of, small, stored
+from .shared import freeing, pieces_of, small, small_batches, stored
 
 WINDOW = 128
 HIDDEN = 8
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text
     Repeated rows and keys stay rows of their own, each judged alike; an empty table
     gives none; columns not in ``keep`` are left out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)])
 
     def label(batches):

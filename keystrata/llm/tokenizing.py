@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from .shared import kept_for_an_operator
+
 #: Bytes of a generation of a task's memory, unless given; there are two generations of pieces and two of symbols and lower-case words.
 CACHE_BYTES = 48 << 20
 #: Bytes that a dict entry, a short str and a bytes object take besides their contents.
@@ -32,6 +34,7 @@ MAX_PIECE = 64
 RUN = 1 << 16
 
 _loaded: dict = {}
+kept_for_an_operator(_loaded.clear)
 
 
 def tokenizer(path: str):
