@@ -61,6 +61,8 @@ SMALL, PIVOTS, WIDE = 24, 4, 2048
 #: Classes and bytes of sets in a block at most, but one class at least.
 BLOCK, BLOCK_BYTES = 256, 1 << 22
 BITS = 2048
+#: Bits of the filter of needed classes for each of them, as long as it has 2 MB at most.
+FILTER_BITS = 64
 #: Classes that a task remembers so as not to send the same one again.
 SEEN = 200_000
 #: Distinct words whose hashes a worker keeps.
@@ -258,15 +260,19 @@ class Join:
         return held.mapInArrow(freeing(_apart(3 * self.reach)), "a binary, b binary")
 
     def _sets(self, needed: DataFrame) -> DataFrame:
-        """(class, shingles) of all needed classes: texts pass a bit filter, then an exact semi-join."""
-        bits = 1 << min(24, max(16, math.ceil(math.log2(8 * needed.count() + 1))))
+        """(class, shingles) of all needed classes: texts pass a bit filter, then an exact semi-join.
+
+        What the filter lets pass is shuffled with its shingles where the semi-join is no
+        broadcast, so it has ``FILTER_BITS`` bits a class: one set in 64 passes in vain.
+        """
+        bits = 1 << min(24, max(16, math.ceil(math.log2(FILTER_BITS * needed.count() + 1))))
         at = F.conv(F.hex(F.substring("class", 1, 3)), 16, 10).cast("int") % bits
         words = needed.select(at.alias("at")).groupBy(F.expr("at div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, at % 32))").alias("set")).collect()
         mask = np.zeros(bits // 32, np.uint32)
         for r in words:
             mask[r["word"]] = r["set"]
         held = self.docs.mapInArrow(freeing(_classes(self.width, mask)), "class binary, shingles binary")
-        return stored(held.join(needed, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
+        return stored(held.join(small(needed), "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
 
     def _distances(self, pairs: DataFrame, sets: DataFrame, pivots: DataFrame) -> DataFrame:
         """a, b (a pivot), d (Jaccard distance) and whether they are linked, decided in whole numbers."""

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from keystrata.llm import jaccard
+from keystrata.llm.shared import stored
 
 from .conftest import ODD
 
@@ -84,6 +86,17 @@ def test_every_link(spark, monkeypatch):
     assert all(bytes(r["a"]) < bytes(r["b"]) for r in got)
 
 
+def test_few_sets_are_shipped_in_vain(spark, monkeypatch):
+    """The bit filter before the sets' shuffle lets few of the others pass, and all that are needed."""
+    masks, own = [], jaccard._classes
+    monkeypatch.setattr(jaccard, "_classes", lambda width, mask: masks.append(mask) or own(width, mask))
+    df = spark.createDataFrame([(i, f"a{i} b c") for i in range(6000)], "doc_id bigint, text string")
+    needed = stored(jaccard.with_class(df, 3).filter("doc_id % 2 = 0").select("class"), "test-needed")
+    found = jaccard.Join(df, 3, 90)._sets(needed)
+    assert found.join(needed, "class").count() == found.count() == 3000
+    assert np.bitwise_count(masks[0]).sum() < 0.02 * 32 * len(masks[0])
+
+
 def test_odd_rows(spark):
     rows = [(r[0], r[1]) for r in ODD]
     assert joined(spark, rows, 3, 90) == brute(rows, 3, 90)
@@ -138,7 +151,5 @@ def test_bitmaps_never_part_close_sets():
     for _ in range(200):
         a = {draw.randrange(1 << 60) for _ in range(draw.randint(1, 300))}
         b = set(draw.sample(sorted(a), len(a) - draw.randrange(len(a)))) | {draw.randrange(1 << 60) for _ in range(draw.randint(0, 30))}
-        import numpy as np
-
         x, y = (np.frombuffer(jaccard.bitmap(np.array(sorted(s), np.uint64)), np.uint8) for s in (a, b))
         assert int(np.bitwise_count(x ^ y).sum()) <= len(a ^ b)
